@@ -16,21 +16,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, stored
+from .common import documents, stored
 
 LAST = (1 << 63) - 1
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def line_key(line: Column) -> Column:
-    stripped = F.regexp_replace(line, rf"^[{SPACES}]+|[{SPACES}]+$", "")
-    return F.translate(stripped, A_TO_Z, A_TO_Z.lower())
-
-
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of a line's key as two hashes under different seeds; null if the key is shorter than min_chars."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")))
+    """The line without ASCII white space at its ends and with A to Z in lower case. lower() is several times as fast as
+    translate() but also maps other letters, so it serves lines of ASCII alone."""
+    stripped = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    plain = F.octet_length(stripped) == F.char_length(stripped)
+    return F.when(plain, F.lower(stripped)).otherwise(F.translate(stripped, A_TO_Z, A_TO_Z.lower()))
 
 
 def text_lines(text: Column) -> Column:
@@ -76,17 +73,21 @@ class LevelledRuns:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> DataFrame:
-    """(id, drop): for each document with lines to lose, the hashes of the keys that an earlier document holds."""
+    """(id, row, drop): for each document with lines to lose, the places of those whose key an earlier document holds.
+
+    row is the hash of the text: documents that share a doc_id are told apart by it. Keys are hashed once, to 128 bits (two
+    hashes under different seeds)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
     edges = rows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = sum((F.when(F.col("id") > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    hashes = F.array_distinct(F.filter(F.transform(text_lines(F.col("text")), lambda x: line_hash(x, min_chars)), lambda x: x.isNotNull()))
-    lines = stored(rows.select("id", batch.cast("int").alias("batch"), F.explode(hashes).alias("k")).select("id", "batch", "k.h", "k.g"), "batch")
+    each = rows.select("id", text_row(F.col("text")).alias("row"), batch.cast("int").alias("batch"), F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
+    each = each.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= min_chars)
+    lines = stored(each.select("id", "row", "pos", "batch", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), "batch")
     runs = LevelledRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     drops = None
     for b in range(len(set(edges)) + 1):
-        own = lines.where(F.col("batch") == b).select("id", "h", "g")
+        own = lines.where(F.col("batch") == b).select("id", "row", "pos", "h", "g")
         keys = own.groupBy("h", "g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
         for i, run in enumerate(runs.tables()):  # keys of runs are disjoint: at most one of them knows the owner
             keys = keys.join(run.withColumnRenamed("owner", f"owner{i}"), ["h", "g"], "left")
@@ -94,21 +95,24 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> Da
         keys = stored(keys.select("h", "g", "first_id", "last_id", known.alias("known")))
         runs.add(keys.where("known IS NULL").select("h", "g", F.col("first_id").alias("owner")))
         shared = keys.where("known IS NOT NULL OR first_id < last_id").select("h", "g", F.coalesce("known", "first_id").alias("owner"))
-        lost = stored(own.join(shared, ["h", "g"]).where("id <> owner").select("id", F.struct("h", "g").alias("k")))
+        lost = stored(own.join(shared, ["h", "g"]).where("id <> owner").select("id", "row", "pos"))
         drops = lost if drops is None else drops.unionByName(lost)
     runs.drop()
-    return stored(drops.groupBy("id").agg(F.collect_set("k").alias("drop")))
+    return stored(drops.groupBy("id", "row").agg(F.collect_set("pos").alias("drop")))
+
+
+def text_row(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> DataFrame:
     """The documents with repeated lines dropped from text, and n_lines (before) and n_dropped. A text that loses nothing stays as it is."""
-    drops = repeated_lines(docs, min_chars, batches)
-    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).join(drops.withColumnRenamed("id", "__id").withColumnRenamed("drop", "__drop"), "__id", "left")
-    kept = F.filter(text_lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), line_hash(x, min_chars)), F.lit(False)))
-    rows = rows.withColumn("__kept", F.when(F.col("__drop").isNotNull(), F.struct(F.array_join(kept, "\n").alias("text"), F.size(kept).alias("n"))))
-    n_lines = F.size(text_lines(F.col("text"))).cast("long")
-    rows = rows.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce(n_lines - F.col("__kept.n"), F.lit(0)).cast("long"))
-    return rows.withColumn("text", F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept.text"))).drop("__id", "__drop", "__kept")
+    drops = repeated_lines(docs, min_chars, batches).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).withColumn("__row", text_row(F.col("text"))).join(drops, ["__id", "__row"], "left")
+    kept = F.filter(text_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("__drop"), i))
+    n_lines = (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    rows = rows.withColumn("n_lines", n_lines).withColumn("n_dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long"))
+    return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__id", "__row", "__drop")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
