@@ -75,12 +75,12 @@ def feature(payload: bytes) -> str:
 
 def landed(docs: DataFrame, level: int = 9) -> DataFrame:
     """A table of two kinds of rows: documents (doc_id, n_bytes, media, chunks: ordered digests) and chunks (digest, segment, whole, data).
-    whole: the chunk is a medium of its own. segment: the task that wrote it; a task writes a digest once."""
+    whole: the chunk is a medium of its own. segment: where it was written, the task and a number; a task writes a digest once."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        segment, seen, pack = TaskContext.get().partitionId(), set(), zstandard.ZstdCompressor(level=level)
+        segment, seen, pack = TaskContext.get().partitionId() << 32, set(), zstandard.ZstdCompressor(level=level)
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
                 rows = []
@@ -96,13 +96,14 @@ def landed(docs: DataFrame, level: int = 9) -> DataFrame:
                             if len(seen) > 1_000_000:  # bounded memory: a digest may then be written again, and is still picked once
                                 seen.clear()
                             seen.add(key)
+                            segment += 1
                             rows.append((None, None, None, None, digest, segment, len(ends) == 1, pack.compress(chunk)))
                     rows.append((doc_id, len(raw), digests[0] if len(ends) == 1 else hashlib.sha256(media).digest(), digests, None, None, None, None))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
                 names = ["doc_id", "n_bytes", "media", "chunks", "digest", "segment", "whole", "data"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "doc_id long, n_bytes long, media binary, chunks array<binary>, digest binary, segment int, whole boolean, data binary"
+    schema = "doc_id long, n_bytes long, media binary, chunks array<binary>, digest binary, segment long, whole boolean, data binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -160,12 +161,15 @@ def media_columns(docs: DataFrame) -> DataFrame:
     land = stored(landed(docs))
     refs = land.where("media IS NOT NULL").select("doc_id", "n_bytes", "media", "chunks")
     store = land.where("digest IS NOT NULL").select("digest", "segment", "whole", "data")
-    pick = lambda part: part.join(part.groupBy("digest").agg(F.min("segment").alias("segment")), ["digest", "segment"])
-    # One copy of each digest: the join is on small keys; a task that cleared its memory may have written one twice.
-    whole = verify_whole(pick(store.where("whole"))).dropDuplicates(["media"])
-    lists = refs.where(F.size("chunks") > 1).select("media", "chunks").groupBy("media").agg(F.first("chunks").alias("chunks"))
+    # Whole media are read back where they lie: no stored bytes move. One result of each digest stays.
+    whole = verify_whole(store.where("whole")).dropDuplicates(["media"])
+    # Parts meet their lists by digest. The index of digests picks one stored copy of each; segment <= kept holds for that one alone.
+    parts = store.where("NOT whole")
+    index = parts.groupBy("digest").agg(F.min("segment").alias("kept"))
+    single = parts.join(index, "digest").where("segment <= kept").select("digest", "data")
+    lists = refs.where(F.size("chunks") > 1).groupBy("media").agg(F.first("chunks").alias("chunks"))
     wanted = lists.select("media", F.posexplode("chunks").alias("seq", "digest"))
-    long_ones = assemble(wanted.join(pick(store).dropDuplicates(["digest"]), "digest"))
+    long_ones = assemble(wanted.join(single, "digest"))
     read = stored(whole.unionByName(long_ones))
     return refs.select("doc_id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media").drop("media")
 
