@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").hint("merge")  # grows with the input: never broadcast
     return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -108,7 +108,7 @@ def text_row(text: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> DataFrame:
     """The documents with repeated lines dropped from text, and n_lines (before) and n_dropped. A text that loses nothing stays as it is."""
     drops = repeated_lines(docs, min_chars, batches).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
-    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).withColumn("__row", text_row(F.col("text"))).join(drops, ["__id", "__row"], "left")
+    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).withColumn("__row", text_row(F.col("text"))).join(drops.hint("merge"), ["__id", "__row"], "left")  # drops grow with the input: never broadcast
     kept = F.filter(text_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("__drop"), i))
     n_lines = (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
     rows = rows.withColumn("n_lines", n_lines).withColumn("n_dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long"))
