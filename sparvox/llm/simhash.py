@@ -19,6 +19,7 @@ from .common import documents, large_strings, stored
 
 BITS = 64
 SEED = 42
+LAST = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, shingle: int = 3, step: int = 1 << 16) -> int:
@@ -40,16 +41,21 @@ def fingerprint(text: bytes, shingle: int = 3, step: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > n).tobytes(), "big", signed=True)
 
 
+def text_key(text):
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the unsigned fingerprint's bits as a BIGINT."""
+    """(doc_id, text_key, fp) of every document; fp is the unsigned fingerprint's bits as a BIGINT."""
 
     def run(batches):
         for batch in batches:
             texts = large_strings(batch.column(1))
             fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def block_masks(max_bits: int, spare: int = 3) -> list[int]:
@@ -64,12 +70,54 @@ def block_masks(max_bits: int, spare: int = 3) -> list[int]:
 
 
 def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints (column fp) that differ in max_bits bits or fewer."""
+    """(a, b, bits), a < b: all pairs of distinct fingerprints (column fp) that differ in max_bits bits or fewer, each pair once:
+    at the first mask on which it agrees."""
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(max_bits)])
     keyed = nodes.select("fp", F.posexplode(masks).alias("block", "mask")).select("block", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return a.join(b, ["block", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.array_position(F.transform(masks, lambda m: differ.bitwiseAND(m) == 0), F.lit(True)) - 1 == F.col("block")
+    pairs = a.join(b, ["block", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & first)
+    return pairs.select("a", "b", F.bit_count(differ).alias("bits"))
+
+
+def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
+    """texts (fp, text) to (fp, grams): the sorted distinct hashes of a text's word shingles, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for t in large_strings(batch.column(1)):
+                w = t.as_buffer().to_pybytes().lower().split()
+                grams = {xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))}
+                found.append(np.sort(np.fromiter(grams, np.uint64, len(grams))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "grams"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, grams binary")
+
+
+def similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, ga, gb), those (a, b) whose sets have at least this Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for ga, gb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(g.as_buffer(), np.uint64) for g in (ga, gb))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Of pairs (a, b) of fingerprints, those whose first documents have similar word shingles. Only texts in pairs are compared."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp").select("fp", F.col("first.id").alias("__id"), F.col("first.text_key").alias("__key"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), text_key(F.col("text")).alias("__key"), "text")
+    sets = stored(shingle_sets(texts.join(need.hint("merge"), ["__id", "__key"]), words).dropDuplicates(["fp"]))  # need grows with the input: never broadcast
+    both = pairs.join(sets.withColumnsRenamed({"fp": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"fp": "b", "grams": "gb"}), "b")
+    return similar(both, similarity)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -91,19 +139,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id, links): links counts the other distinct fingerprints within max_bits bits.
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, verified_bits: int | None = None, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, text_key, fp, component_id, links): links counts the other distinct fingerprints that are linked.
 
-    Copies share a fingerprint, so a group of copies of any size is one node, and the pair search never sees it twice."""
+    Fingerprints within max_bits bits are linked. With verified_bits, so are those within that many bits whose texts have a Jaccard
+    similarity of at least `similarity` of their shingles of `words` words. Copies share a fingerprint, so a group of copies of any
+    size is one node, and the pair search never sees it twice."""
     fps = stored(fingerprints(docs, shingle))
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    pairs = stored(links(nodes, max_bits))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text_key"))
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first.alias("first")))
+    found = stored(links(nodes, max(max_bits, verified_bits or 0)))
+    pairs = found.where(F.col("bits") <= max_bits).select("a", "b")
+    if verified_bits is not None and verified_bits > max_bits:
+        pairs = stored(pairs.unionByName(verified(docs, nodes, found.where(F.col("bits") > max_bits).select("a", "b"), similarity, words)))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
     rooted = nodes.join(components(pairs).withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
     rooted = stored(rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id", "links")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
+    return fps.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id", "links")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

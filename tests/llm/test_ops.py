@@ -71,13 +71,50 @@ def test_simhash_chain(spark):
     for _ in range(200):  # a long chain of links
         chain.append(chain[-1] ^ sum(1 << int(b) for b in rng.choice(62, 3, replace=False)))
     nodes = sorted({*chain, *[int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)]})
-    pairs = {(a, b) for i, b in enumerate(nodes) for a in nodes[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
+    pairs = {(a, b, ((a ^ b) & ((1 << 64) - 1)).bit_count()) for i, b in enumerate(nodes) for a in nodes[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
     e = links(spark.createDataFrame([(n,) for n in nodes], "fp long"))
     assert {tuple(r) for r in e.collect()} == pairs
-    roots = dict(map(tuple, components(e).collect()))
+    roots = dict(map(tuple, components(e.select("a", "b")).collect()))
     assert {roots[n] for n in chain if n != min(chain)} == {min(chain)}
 
 
+def test_simhash_verified(spark):
+    """Pairs between max_bits and verified_bits count only if their shingle sets are similar."""
+    from sparvox.llm.simhash import near_duplicates
+
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(vocab, 150))
+        texts.append(" ".join(base))
+        for n in (1, 2, 4):
+            w = list(base)
+            for i in rng.choice(150, n, replace=False):
+                w[i] = "changed"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [simhash(t) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = (fps[i] ^ fps[j]).bit_count()
+            if bits <= 3 or bits <= 6 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, verified_bits=6).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    plain = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert len(set(got.values())) < len(set(plain.values()))
+
+
 def test_hpylm(spark, case):
     d, rows = case
     docs = [(r[0], [*WORD.findall(lower(r[1] or "")), "\n"], zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0) for r in rows]

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as p
-from sparvox.llm import queries
+from sparvox.llm.simhash import near_duplicates
 
 
 def test_stages(spark, edge):
@@ -18,6 +18,6 @@ def test_stages(spark, edge):
 
 def test_near_keeps_one_of_each_group(spark, edge):
     docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
-    groups = {r["doc_id"]: r["component_id"] for r in queries.op1_simhash(spark, edge[0]).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, verified_bits=5).collect()}
     kept = {r["doc_id"] for r in p.near(spark, docs, edge[0]).collect()}
     assert {d for d in kept if d is not None} == {d for d, c in groups.items() if d is not None and d == c}
