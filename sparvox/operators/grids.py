@@ -64,9 +64,16 @@ def leaves(voxels: DataFrame, background: float = 0.0, keys: Sequence[str] = ())
         F.count_if("active").alias("active_count"),
     )
     some = some.where("active_count > 0")
-    sparse = F.map_from_entries("__v")
-    filled = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda n: F.coalesce(F.element_at(sparse, n), F.lit(float(background)).cast("float")))
-    return some.withColumn("values", F.when(F.size("__v") == 512, F.col("__v.value")).otherwise(filled)).drop("__v")
+    v, fill = F.col("__v"), F.lit(float(background)).cast("float")
+
+    def with_gap(s: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(v, i - 1)["slot"], F.lit(-1))
+        return F.concat(F.array_repeat(fill, s["slot"] - before - 1), F.array(s["value"]))
+
+    filled = F.concat(F.flatten(F.transform(v, with_gap)), F.array_repeat(fill, F.lit(511) - F.element_at(v, -1)["slot"]))
+    some = some.withColumn("values", F.when(F.size(v) == 512, F.col("__v.value")).otherwise(filled)).drop("__v")
+    whole = F.when(F.size("values") == 512, F.col("values")).otherwise(F.raise_error(F.lit("a voxel occurs twice")).cast("array<float>"))
+    return some.withColumn("values", whole)
 
 
 def leaf_voxels(leaf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
