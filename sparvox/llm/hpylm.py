@@ -192,8 +192,9 @@ def _alone(discount: float, most: int = 256) -> np.ndarray:
 def seat(rng: np.random.Generator, c: np.ndarray, weight: np.ndarray, discount: float, sweeps: int = 6, steps: int = 64) -> np.ndarray:
     """Tables that c customers of one dish take, for each of many dishes; weight: (strength + discount * tables) * the parent's probability.
 
-    Customers come one by one; past `steps` of them, the arrival that opens the next table is drawn from the tail of the same
-    process at once. Then come Gibbs steps: one customer of each dish gets up and is seated again."""
+    Customers come one by one; past `steps` of them they come in groups of a sixteenth of those seated, each with the chance of the
+    group's middle, so that a dish takes a number of steps that grows with the logarithm of its customers. Then come Gibbs steps:
+    one customer of each dish gets up and is seated again."""
     t = np.minimum(c, 1).astype(np.int64)
     many = np.flatnonzero(c > 1)
     order = many[np.argsort(-c[many], kind="stable")]
@@ -203,16 +204,12 @@ def seat(rng: np.random.Generator, c: np.ndarray, weight: np.ndarray, discount:
         if not n:
             break
         ts[:n] += rng.random(n) * (a[:n] + j - discount * ts[:n]) < a[:n]
-    n = int(np.searchsorted(-cs, -steps, side="left"))
-    at, live = np.full(n, float(steps)), np.arange(n)
-    while len(live):
-        base = discount * ts[live]
-        u = np.maximum(rng.random(len(live)), 1e-300)
-        with np.errstate(over="ignore"):
-            at[live] = np.ceil(base + (at[live] - base) * u ** (-1 / np.maximum(a[live], 1e-12)))
-        live = live[at[live] < cs[live]]
-        ts[live] += 1
-        at[live] += 1
+    j = steps
+    while n := int(np.searchsorted(-cs, -j, side="left")):
+        leap = max(1, j // 16)
+        m = np.minimum(leap, cs[:n] - j)
+        ts[:n] += rng.binomial(m, a[:n] / (a[:n] + j + (m - 1) / 2 - discount * ts[:n]))
+        j += leap
     alone = _alone(discount)
     small, limit = cs < len(alone), len(alone) - 1
     for _ in range(sweeps):
