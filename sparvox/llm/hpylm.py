@@ -52,7 +52,7 @@ def _smallest(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 22) -> DataFrame:
+def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 21) -> DataFrame:
     """(chunk, n_train, top, data): data has the tokens of whole documents as codes of the chunk's own list of words."""
 
     def made(part: int, n: int, held: list) -> tuple:
@@ -138,8 +138,8 @@ def counts(table: DataFrame, own: np.ndarray) -> DataFrame:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk = _unsqueeze(data)
                 codes, where = _pairs(chunk, own)
-                train = np.repeat(~chunk["held"], chunk["lengths"])
-                n = np.bincount(where[train], minlength=len(codes)).astype(np.uint32)
+                n = np.bincount(where[np.repeat(~chunk["held"], chunk["lengths"])], minlength=len(codes)).astype(np.uint32)
+                del where
                 starts = np.searchsorted(codes, np.arange(len(chunk["hashes"]) + 1) * RESTAURANTS)
                 names = ["chunk", "h", "contexts", "ns"]
                 whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(starts) - 1, key)), pa.array(chunk["hashes"]), _blobs((codes % RESTAURANTS).astype(np.uint8), starts), _blobs(n, starts)], names)
