@@ -90,7 +90,7 @@ def images(data: bytes) -> Iterator[tuple[dict, bytes]]:
                 _require(len(image) == m[0] and struct.unpack_from("<Q", image, 32)[0] == m[0], "grid size differs from its header's")
                 yield {"name": name.split(b"\0")[0].decode(), "grid_type": GRID_TYPES[m[4]], "grid_class": GRID_CLASSES[m[5]], "world_min": list(m[6:9]), "world_max": list(m[9:12]), "index_min": list(m[12:15]), "index_max": list(m[15:18]), "voxel_size": list(m[18:21]), "voxel_count": m[3], "grid_bytes": m[0]}, image
         return
-    _require(data[:8] == MAGIC_GRID, "not a NanoVDB file")
+    _require(data[:8] == MAGIC_GRID, "not an .nvdb file")
     at, count = 0, struct.unpack_from("<I", data, 28)[0] if len(data) >= GRID else 1
     for _ in range(max(1, count)):
         _require(len(data) - at >= GRID + TREE + ROOT and data[at : at + 8] == MAGIC_GRID, "grid is cut short")
