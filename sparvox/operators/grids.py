@@ -174,6 +174,23 @@ def inspect(leaf: DataFrame, size: Column | None = None, keys: Sequence[str] = (
     return both.withColumn("total_bytes", sum((F.col(f"{c}_bytes") for c in ("tree", "root", "upper", "lower", "leaf")), F.col("grid_bytes")))
 
 
+def block_offsets(sizes: DataFrame) -> DataFrame:
+    """Where each block of a grid image begins, from the sizes that inspect() gives."""
+    at, out = F.lit(0).cast("long"), {}
+    for before, part in zip(("grid", "tree", "root", "upper", "lower"), ("tree", "root", "upper", "lower", "leaf"), strict=True):
+        at = at + F.col(f"{before}_bytes")
+        out[f"{part}_at"] = at
+    return sizes.withColumns(out)
+
+
+def child_counts(leaf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(level, ox, oy, oz, children) of every lower and upper node; lower nodes come from leaves, upper ones from lower ones."""
+    up = lambda df, edge: df.groupBy(*keys, *[align(F.col(o), edge).alias(o) for o in ORIGIN]).agg(F.count("*").alias("children"))
+    lower = up(leaf, LOWER)
+    named = lambda df, level: df.select(*keys, F.lit(level).alias("level"), *ORIGIN, "children")
+    return named(lower, "lower").unionByName(named(up(lower, UPPER), "upper"))
+
+
 def shares(sizes: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each part with its share of all, as the report panels show them."""
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))

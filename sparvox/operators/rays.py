@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.keys import AXES
+from ..functions.keys import AXES, LEAF, align
 from ..functions.optics import Material, henyey_greenstein, opacity, slab
 from .lookup import sample_trilinear
 
@@ -32,6 +33,23 @@ def march(clipped: DataFrame, step: float, max_steps: int) -> DataFrame:
     return rows.withColumns({a: F.col(f"o{a}") + F.col("t") * F.col(f"d{a}") for a in AXES})
 
 
+def first_crossing(steps: DataFrame, iso: float = 0.0) -> DataFrame:
+    """steps (ray_id, step, t, value) to (ray_id, step, t_hit, v_hit): the first step whose side of iso is not that of the step before."""
+    side = F.signum(F.col("value") - iso)
+    order = W.partitionBy("ray_id").orderBy("step")  # at most 1024 steps a ray
+    hits = steps.withColumn("__hit", side != F.lag(side).over(order)).where("__hit")
+    first = F.min(F.struct("step", "t", "value"))
+    return hits.groupBy("ray_id").agg(first.alias("f")).select("ray_id", F.col("f.step").alias("step"), F.col("f.t").alias("t_hit"), F.col("f.value").alias("v_hit"))
+
+
+def near_leaves(points: DataFrame, leaf: DataFrame) -> DataFrame:
+    """The points of which a tap of the eight can lie in a leaf; the others would only read the background."""
+    shifts = F.array(*[F.struct(*[(F.col(f"o{a}") - LEAF * (k >> i & 1)).alias(f"b{a}") for i, a in enumerate(AXES)]) for k in range(8)])
+    blocks = leaf.select(F.inline(shifts)).distinct()
+    at = points.withColumns({f"b{a}": align(F.floor(a).cast("int"), LEAF) for a in AXES})
+    return at.join(blocks, [f"b{a}" for a in AXES], "left_semi").select(*points.columns)
+
+
 def shadow(steps: DataFrame, leaf: DataFrame, sun: Sequence[float], m: Material) -> DataFrame:
     """(key, light): how much of the sun reaches each step: exp of minus the density summed towards it."""
     n = F.sequence(F.lit(1), F.lit(min(m.shadow_steps, 128)))

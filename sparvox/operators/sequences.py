@@ -18,8 +18,8 @@ def window_ahead(frame: Column, ahead: int, n: int, loop: bool = True) -> Column
     return F.transform(every, lambda i: F.pmod(i, F.lit(n))) if loop else F.filter(every, lambda i: i < n)
 
 
-def evicted(held: DataFrame, wanted: DataFrame) -> DataFrame:
-    return held.join(wanted, "frame", "left_anti")
+def evicted(held: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return held.join(wanted, [*keys, "frame"], "left_anti")
 
 
 def shown(ticks: DataFrame, decoded: DataFrame, keys: tuple[str, ...] = ("sequence",)) -> DataFrame:

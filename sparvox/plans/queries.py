@@ -17,6 +17,7 @@ from ..operators import grids as G
 from ..operators import lookup as L
 from ..operators import rays as R
 from ..operators import sequences as S
+from ..sources import nvdb as N
 
 # --- Grids ------------------------------------------------------------------------------------------------------------
 
@@ -148,6 +149,27 @@ def msk_popcount(spark, d):
     return rows.select("ox", "oy", "oz", M.count_bits(F.col("mask")).alias("ones"), M.count_zero_bits(F.col("mask")).alias("zeros"), M.ones(F.col("mask"))[0].alias("first_slot"))
 
 
+@query("msk_iter_ones", f"WITH {G1} SELECT {LEAF1}, (x & 7) * 64 + (y & 7) * 8 + (z & 7) AS slot FROM g1")
+def msk_iter_ones(spark, d):
+    return G.leaves(g1(spark, d)).select("ox", "oy", "oz", F.explode(M.ones(F.col("mask"))).alias("slot"))
+
+
+@query("msk_words", f"WITH {G1}, s AS (SELECT {LEAF1}, (x & 7) * 64 + (y & 7) * 8 + (z & 7) AS slot FROM g1), b AS (SELECT ox, oy, oz, w, coalesce(sum(CAST(power(2, slot & 31) AS HUGEINT) * CASE WHEN slot & 32 = 32 THEN 4294967296 ELSE 1 END) FILTER (WHERE slot >> 6 = w), 0) AS n FROM s CROSS JOIN range(8) r(w) GROUP BY 1, 2, 3, 4) SELECT ox, oy, oz, CAST(w AS INT) AS word, CAST(CASE WHEN n > 9223372036854775807 THEN n - 18446744073709551616::HUGEINT ELSE n END AS BIGINT) AS bits FROM b")
+def msk_words(spark, d):
+    return G.leaves(g1(spark, d)).select("ox", "oy", "oz", F.posexplode("mask").alias("word", "bits"))
+
+
+@query("udf_leaf_voxels", f"WITH {G2}, l AS (SELECT DISTINCT {LEAF1} FROM g2), s AS (SELECT CAST(ox + (k >> 6) AS INT) AS x, CAST(oy + (k >> 3 & 7) AS INT) AS y, CAST(oz + (k & 7) AS INT) AS z FROM l CROSS JOIN range(512) r(k)) SELECT s.x, s.y, s.z, coalesce(g.v, 0) AS value, g.v IS NOT NULL AS active FROM s LEFT JOIN g2 g ON g.x = s.x AND g.y = s.y AND g.z = s.z")
+def udf_leaf_voxels(spark, d):
+    return G.leaf_voxels(G.leaves(g2(spark, d))).withColumn("value", F.col("value").cast("double"))
+
+
+@query("key_names", "SELECT n_nationkey AS id, n_name AS grid, n_name AS raw, 'float' AS value_type FROM nation")
+def key_names(spark, d):
+    unique, raw = F.concat("n_name", F.lit("\x1e"), "n_nationkey"), F.concat("n_name", F.lit("\x00rest")).cast("binary")
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), K.grid_name(unique).alias("grid"), K.c_string(raw).alias("raw"), K.value_type(F.lit("Tree_float_5_4_3_HalfFloat")).alias("value_type"))
+
+
 # --- Filters and edits ------------------------------------------------------------------------------------------------
 
 
@@ -307,6 +329,23 @@ def agg_frames_differ(spark, d):
     return S.frames_differ(G.with_active(g3(spark, d)))
 
 
+@query("agg_stats_per_grid", f"WITH {G1}, {G2}, u AS (SELECT 'a' AS grid, * FROM g1 UNION ALL SELECT 'b', * FROM g2) SELECT grid, {AT['lower']}, {STATS} FROM u GROUP BY 1, 2, 3, 4")
+def agg_stats_per_grid(spark, d):
+    both = g1(spark, d).withColumn("grid", F.lit("a")).unionByName(g2(spark, d).withColumn("grid", F.lit("b")))
+    return G.node_stats(both, "lower", ["grid"])
+
+
+@query("agg_slice_range", f"WITH {G2} SELECT min(v) AS lo, max(v) AS hi, count(*) > 0 AS non_empty FROM g2 WHERE z = 1")
+def agg_slice_range(spark, d):
+    rows = L.slice_z(spark, G.leaves(g2(spark, d)), 1, LOW2, HIGH2).where("active")
+    return rows.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), (F.count("*") > 0).alias("non_empty"))
+
+
+@query("agg_child_counts", f"WITH {G1} SELECT 'lower' AS level, {AT['lower']}, count(DISTINCT (x >> 3, y >> 3, z >> 3)) AS children FROM g1 GROUP BY 2, 3, 4 UNION ALL SELECT 'upper', {AT['upper']}, count(DISTINCT (x >> 7, y >> 7, z >> 7)) FROM g1 GROUP BY 2, 3, 4")
+def agg_child_counts(spark, d):
+    return G.child_counts(G.leaves(g1(spark, d)))
+
+
 # --- Layout -----------------------------------------------------------------------------------------------------------
 
 ORDER = "(x >> 12), (y >> 12), (z >> 12), ((x & 4095) >> 7) * 1024 + ((y & 4095) >> 7) * 32 + ((z & 4095) >> 7), ((x & 127) >> 3) * 256 + ((y & 127) >> 3) * 16 + ((z & 127) >> 3)"
@@ -324,6 +363,16 @@ def win_leaf_offset(spark, d):
     return G.with_offsets(ranked, 96 + 64 * (1 + F.col("active_count") % 3)).select("ox", "oy", "oz", "mem_index", "leaf_offset")
 
 
+@query("win_block_offsets", f"WITH {G1}, c AS (SELECT count(DISTINCT (x >> 7, y >> 7, z >> 7)) AS lower, count(DISTINCT (x >> 12, y >> 12, z >> 12)) AS upper FROM g1) SELECT 672 AS tree_at, 736 AS root_at, 800 + 32 * upper AS upper_at, 800 + 32 * upper + 270400 * upper AS lower_at, 800 + 32 * upper + 270400 * upper + 33856 * lower AS leaf_at FROM c")
+def win_block_offsets(spark, d):
+    return G.block_offsets(G.inspect(G.leaves(g1(spark, d)))).select("tree_at", "root_at", "upper_at", "lower_at", "leaf_at")
+
+
+@query("win_slice_stride", f"WITH {G2}, c AS (SELECT CAST(a.i * 4 - 30 AS INT) AS x, CAST(b.j * 4 - 24 AS INT) AS y FROM range(15) a(i) CROSS JOIN range(13) b(j)) SELECT c.x, c.y, coalesce(g.v, 0) AS value, g.v IS NOT NULL AS active FROM c LEFT JOIN g2 g ON g.x = c.x AND g.y = c.y AND g.z = -2")
+def win_slice_stride(spark, d):
+    return L.slice_z(spark, G.leaves(g2(spark, d)), -2, LOW2, HIGH2, most=16).select("x", "y", "value", "active")
+
+
 @query("win_first_k_leaves", f"WITH {G1}, {RANKED} SELECT ox, oy, oz, mem_index, (SELECT count(*) FROM r) AS total FROM r WHERE mem_index < 50")
 def win_first_k_leaves(spark, d):
     return G.first_leaves(G.mem_index(G.leaves(g1(spark, d))), 50).select("ox", "oy", "oz", "mem_index", "total")
@@ -395,6 +444,12 @@ def cod_fpn_bitwidth_hist(spark, d):
     return C.quantize(G.leaves(g2(spark, d)), "fpn", 0.01).groupBy("bits").agg(F.count("*").alias("n"))
 
 
+@query("cod_fpn_codes", f"{FULL}, w AS (SELECT f.ox, f.oy, f.oz, CASE WHEN min(lo) = max(hi) THEN 1 {' '.join(f'WHEN {_fits(b)} THEN {b}' for b in (1, 2, 4, 8))} ELSE 16 END AS bits FROM f JOIN m USING (ox, oy, oz) GROUP BY 1, 2, 3), t AS (SELECT f.*, lo, bits, (1 << bits) - 1 AS top, CASE WHEN hi > lo THEN CAST((1 << bits) - 1 AS DOUBLE) / CAST(CAST(hi - lo AS FLOAT) AS DOUBLE) ELSE 0 END AS scale FROM f JOIN m USING (ox, oy, oz) JOIN w USING (ox, oy, oz)), k AS (SELECT ox, oy, oz, bits, CAST(least(greatest(CASE WHEN bits = 16 THEN floor(scale * (CAST(v AS DOUBLE) - CAST(lo AS DOUBLE)) + 0.5) ELSE floor(CAST(CAST(CAST(scale AS FLOAT) * CAST(v - lo AS FLOAT) AS FLOAT) + CAST(0.5 AS FLOAT) AS FLOAT)) END, 0), top) AS BIGINT) AS code FROM t) SELECT ox, oy, oz, bits, CAST(sum(code) AS BIGINT) AS code_sum FROM k GROUP BY 1, 2, 3, 4")
+def cod_fpn_codes(spark, d):
+    coded = C.quantize(G.leaves(g2(spark, d)), "fpn", 0.01)
+    return coded.select("ox", "oy", "oz", "bits", F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + c).alias("code_sum"))
+
+
 @query("cod_stat_u16", f"WITH {G1} SELECT {LEAF1}, CAST(least(greatest(floor((sum(v) / count(*) - min(v)) * (1 / 0.25::DOUBLE) + 0.5), 0), 65535) AS INT) AS average_u16 FROM g1 GROUP BY 1, 2, 3")
 def cod_stat_u16(spark, d):
     s = G.with_moments(G.node_stats(g1(spark, d)))
@@ -419,25 +474,66 @@ def cod_build_from_dense(spark, d):
 # --- Rays -------------------------------------------------------------------------------------------------------------
 
 
-def _rays(spark, d, n=400):
-    o = spark.read.parquet(f"{d}/orders.parquet").where(F.col("o_orderkey") <= n)
+def _rays(spark, d):
+    """A ray along y for every order; those beside the box miss it."""
     k = F.col("o_orderkey")
-    return o.select(k.alias("ray_id"), ((k % 60) - 30 + 0.5).alias("ox"), F.lit(-60.0).alias("oy"), ((k % 11) - 5 + 0.25).alias("oz"), F.lit(0.0).alias("dx"), F.lit(2.0).alias("dy"), F.lit(0.0).alias("dz"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(k.alias("ray_id"), ((k % 80) - 40 + 0.5).alias("ox"), (F.lit(-60.0) - k % 7).alias("oy"), ((k % 11) - 5 + 0.25).alias("oz"), F.lit(0.0).alias("dx"), F.lit(2.0).alias("dy"), F.lit(0.0).alias("dz"))
 
 
-@query("ray_clip_bbox", "SELECT o_orderkey AS ray_id, 36.0::DOUBLE AS t0, 86.0::DOUBLE AS t1 FROM orders WHERE o_orderkey <= 400")
+HIT = "h AS (SELECT o_orderkey AS ray_id, 36.0::DOUBLE + o_orderkey % 7 AS t0, 86.0::DOUBLE + o_orderkey % 7 AS t1 FROM orders WHERE o_orderkey % 80 BETWEEN 10 AND 69)"
+
+
+@query("ray_clip_bbox", f"WITH {HIT} SELECT ray_id, t0, t1 FROM h")
 def ray_clip_bbox(spark, d):
     return R.clip(_rays(spark, d), LOW2, HIGH2).select("ray_id", "t0", "t1")
 
 
-@query("ray_march_steps", "SELECT o_orderkey AS ray_id, count(*) AS steps, max(36.0::DOUBLE + s * 0.75::DOUBLE) AS last_t FROM orders CROSS JOIN range(0, 67) r(s) WHERE o_orderkey <= 400 GROUP BY 1")
+@query("ray_march_steps", f"WITH {HIT} SELECT ray_id, count(*) AS steps, max(t0 + s * 0.75::DOUBLE) AS last_t FROM h CROSS JOIN range(0, 67) r(s) GROUP BY 1")
 def ray_march_steps(spark, d):
     return R.march(R.clip(_rays(spark, d), LOW2, HIGH2), 0.75, 512).groupBy("ray_id").agg(F.count("*").alias("steps"), F.max("t").alias("last_t"))
 
 
-@query("ray_render")
+def _camera(spark, d):
+    """A ray along y for every column (x, z) that G2 holds, as a camera has one for every pixel."""
+    at = g2(spark, d).select("x", "z").distinct()
+    return at.select(((F.col("x") + 30) * 11 + F.col("z") + 5).cast("long").alias("ray_id"), (F.col("x") + 0.5).alias("ox"), F.lit(-60.0).alias("oy"), (F.col("z") + 0.25).alias("oz"), F.lit(0.0).alias("dx"), F.lit(2.0).alias("dy"), F.lit(0.0).alias("dz"))
+
+
+def _march(spark, d):
+    """(probe_id, ray_id, step, t, x, y, z) of the camera's rays."""
+    rows = R.march(R.clip(_camera(spark, d), LOW2, HIGH2), 0.75, 512)
+    return rows.select((F.col("ray_id") * 1000 + F.col("step")).alias("probe_id"), "ray_id", "step", "t", *K.AXES)
+
+
+CAMERA = "c AS (SELECT ray_id * 1000 + i AS probe_id, ray_id, CAST(i AS INT) AS step, 36 + i * 0.75::DOUBLE AS t, px AS x, -24 + i * 0.75::DOUBLE AS y, pz AS z FROM (SELECT DISTINCT CAST((x + 30) * 11 + z + 5 AS BIGINT) AS ray_id, x + 0.5::DOUBLE AS px, z + 0.25::DOUBLE AS pz FROM g2) CROSS JOIN range(67) r(i))"
+
+
+def _sampled(out: str, points: str) -> str:
+    """SQL of the table `out`: points (probe_id, x, y, z, ...) with the trilinear value of G2."""
+    mix = "({0} + ({1} - {0}) * {2})".format
+    low, high = (mix(mix(f"v{k}", f"v{k + 1}", "fx"), mix(f"v{k + 2}", f"v{k + 3}", "fx"), "fy") for k in (0, 4))
+    taps = ", ".join(f"max(gv) FILTER (WHERE k = {k}) AS v{k}" for k in range(8))
+    near = " AND ".join(f"g.{a} = CAST(floor(p.{a}) AS INT) + CAST(k >> {i} & 1 AS INT)" for i, a in enumerate(K.AXES))
+    part = ", ".join(f"{a} - floor({a}) AS f{a}" for a in K.AXES)
+    return f"{out}_taps AS (SELECT probe_id, {taps} FROM (SELECT p.probe_id, k, coalesce(g.v, 0) AS gv FROM {points} p CROSS JOIN range(8) r(k) LEFT JOIN g2 g ON {near}) GROUP BY 1), {out} AS (SELECT *, {mix(low, high, 'fz')} AS value FROM (SELECT *, {part} FROM {points}) JOIN {out}_taps USING (probe_id))"
+
+
+@query("ray_render", f"WITH {G2}, {CAMERA}, {_sampled('v', 'c')}, l AS (SELECT probe_id * 8 + k AS probe_id, probe_id AS step_id, x, y + k * 0.75::DOUBLE AS y, z FROM v CROSS JOIN range(1, 5) r(k) WHERE value > 0), {_sampled('w', 'l')}, d AS (SELECT step_id, exp(-sum(greatest(value, 0) * 0.002 * 0.75)) AS light FROM w GROUP BY 1), s AS (SELECT ray_id, step, 1 - exp(-value * 0.002 * 0.75) AS a, 0.15 + 3 * light * 0.91 / (4 * pi() * power(0.49, 1.5)) AS lit FROM v JOIN d ON v.probe_id = d.step_id WHERE value > 0), t AS (SELECT *, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY ray_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS t FROM s) SELECT ray_id, round(sum(t * a * lit), 6) AS colour, CAST(count(*) AS INT) AS used FROM t WHERE t >= 0.003 GROUP BY 1")
 def ray_render(spark, d):
-    return R.render(_rays(spark, d, 60), G.leaves(g2(spark, d)), LOW2, HIGH2, O.Material(density_scale=0.002, shadow_density=0.002, shadow_steps=4)).select("ray_id", F.round("colour", 6).alias("colour"), "used")
+    return R.render(_camera(spark, d), G.leaves(g2(spark, d)), LOW2, HIGH2, O.Material(density_scale=0.002, shadow_density=0.002, shadow_steps=4)).select("ray_id", F.round("colour", 6).alias("colour"), "used")
+
+
+@query("ray_zero_crossing", f"WITH {G2}, {CAMERA}, {_sampled('v', 'c')}, s AS (SELECT ray_id, step, t, value, sign(value - 25) <> lag(sign(value - 25)) OVER (PARTITION BY ray_id ORDER BY step) AS hit FROM v) SELECT ray_id, min(step) AS step, min(t) AS t_hit, arg_min(value, step) AS v_hit FROM s WHERE hit GROUP BY 1")
+def ray_zero_crossing(spark, d):
+    read = L.sample_trilinear(_march(spark, d), G.leaves(g2(spark, d)))
+    return R.first_crossing(read, 25.0)
+
+
+@query("ray_skip_empty", f"WITH {G2}, {CAMERA}, b AS (SELECT DISTINCT x >> 3 AS bx, y >> 3 AS by_, z >> 3 AS bz FROM g2 WHERE v > 49) SELECT ray_id, count(DISTINCT probe_id) AS kept FROM c JOIN b ON CAST(floor(c.x) AS INT) >> 3 BETWEEN bx - 1 AND bx AND CAST(floor(c.y) AS INT) >> 3 BETWEEN by_ - 1 AND by_ AND CAST(floor(c.z) AS INT) >> 3 BETWEEN bz - 1 AND bz GROUP BY 1")
+def ray_skip_empty(spark, d):
+    leaf = G.leaves(g2(spark, d).where("value > 49"))
+    return R.near_leaves(_march(spark, d), leaf).groupBy("ray_id").agg(F.count("*").alias("kept"))
 
 
 @query("ray_hg_phase", "SELECT l_orderkey, l_linenumber, round((1 - 0.09) / (4 * pi() * power(greatest(1.09 - 0.6 * (l_discount * 20 - 1), 1e-4), 1.5)), 6) AS phase, round(1 - exp(-greatest(l_tax, 0) * 40 * 0.75), 6) AS a FROM lineitem")
@@ -451,16 +547,25 @@ def ray_atlas_nearest(spark, d):
     return L.atlas(spark, G.leaves(g2(spark, d)), LOW2, HIGH2, most=20, filter="nearest", span=(0.0, 50.0))
 
 
-@query("ray_atlas_u8")
+CELL = "CAST(floor({lo} + ({i} + 0.5::DOUBLE) / {n} * {size} + 0.5) AS INT)".format
+
+
+@query("ray_atlas_u8", f"WITH {G2}, c AS (SELECT i + 32 * j + 1024 * k AS probe_id, -30 + (i + 0.5::DOUBLE) / 32 * 60 AS x, -24 + (j + 0.5::DOUBLE) / 32 * 50 AS y, -5 + (k + 0.5::DOUBLE) / 11 * 11 AS z FROM range(32) a(i) CROSS JOIN range(32) b(j) CROSS JOIN range(11) e(k)), {_sampled('v', 'c')} SELECT CAST(probe_id % 32 AS INT) AS x, CAST(probe_id // 32 % 32 AS INT) AS y, CAST(probe_id // 1024 AS INT) AS z, CAST(floor(least(greatest(value / 50, 0), 1) * 255 + 0.5) AS INT) AS value FROM v")
 def ray_atlas_u8(spark, d):
     return L.atlas(spark, G.leaves(g2(spark, d)), LOW2, HIGH2, most=32, span=(0.0, 50.0))
 
 
-@query("ray_atlas_sample")
+_UVW = {"i": ("x", 30, 60, 16), "j": ("y", 24, 50, 16), "k": ("z", 5, 11, 11)}
+_POS = ", ".join(f"least(greatest((p.{a} + {o}) / {s}, 0), 1) * {n} - 0.5::DOUBLE AS {i}" for i, (a, o, s, n) in _UVW.items())
+_TAP = ", ".join(f"least(greatest(CAST(floor({i}) AS INT) + CAST(tap >> {b} & 1 AS INT), 0), {n - 1}) AS c{i}" for b, (i, (_, _, _, n)) in enumerate(_UVW.items()))
+_WEIGHT = " * ".join(f"CASE WHEN tap >> {b} & 1 = 1 THEN {i} - floor({i}) ELSE 1 - ({i} - floor({i})) END" for b, i in enumerate(_UVW))
+
+
+@query("ray_atlas_sample", f"WITH {G2}, {POINT}, a AS (SELECT i, j, k, floor(least(greatest(coalesce(g.v, 0) / 50, 0), 1) * 255 + 0.5) AS u8 FROM range(16) a(i) CROSS JOIN range(16) b(j) CROSS JOIN range(11) e(k) LEFT JOIN g2 g ON g.x = {CELL(lo=-30, i='i', n=16, size=60)} AND g.y = {CELL(lo=-24, i='j', n=16, size=50)} AND g.z = {CELL(lo=-5, i='k', n=11, size=11)}), q AS (SELECT probe_id, {_POS} FROM p), t AS (SELECT probe_id, {_TAP}, {_WEIGHT} AS weight FROM q CROSS JOIN range(8) r(tap)) SELECT probe_id, round(sum(u8 * weight) / 255, 6) AS value FROM t JOIN a ON a.i = ci AND a.j = cj AND a.k = ck GROUP BY 1")
 def ray_atlas_sample(spark, d):
     cells = L.atlas(spark, G.leaves(g2(spark, d)), LOW2, HIGH2, most=16, filter="nearest", span=(0.0, 50.0))
     p = _points(spark, d).select("probe_id", ((F.col("x") + 30) / 60).alias("u"), ((F.col("y") + 24) / 50).alias("v"), ((F.col("z") + 5) / 11).alias("w"))
-    return L.sample_atlas(p, cells, (16, 16, 11))
+    return L.sample_atlas(p, cells, (16, 16, 11)).withColumn("value", F.round("value", 6))
 
 
 @query("ray_wireframe", f"WITH {G2}, l AS (SELECT DISTINCT (x >> 3) * 8 AS ox, (y >> 3) * 8 AS oy, (z >> 3) * 8 AS oz FROM g2) SELECT ox, oy, oz, 12 AS edges, CAST(ox * 12 + 48 AS DOUBLE) AS sum_from_x FROM l".replace("ox * 12 + 48", "ox * 12 + 32"))
@@ -505,11 +610,12 @@ def str_prefetch_window(spark, d):
     return _ticks(spark, d).select("event_id", F.explode(S.window_ahead(F.col("frame"), 4, 48)).alias("want"))
 
 
-@query("str_evict", f"WITH {TICK}, x AS (SELECT DISTINCT CAST((frame + k) % 48 AS INT) AS frame FROM w CROSS JOIN range(5) r(k) WHERE event_id < 3) SELECT CAST(i AS INT) AS frame FROM range(48) r(i) WHERE i NOT IN (SELECT frame FROM x)")
+@query("str_evict", f"WITH {TICK}, n AS (SELECT sequence, arg_max(frame, (ts, event_id)) AS frame FROM w GROUP BY 1) SELECT n.sequence, CAST(i AS INT) AS frame FROM n CROSS JOIN range(48) r(i) WHERE (i - n.frame + 48) % 48 > 4")
 def str_evict(spark, d):
-    held = spark.range(48).select(F.col("id").cast("int").alias("frame"))
-    want = _ticks(spark, d).where("event_id < 3").select(F.explode(S.window_ahead(F.col("frame"), 4, 48)).alias("frame"))
-    return S.evicted(held, want)
+    now = _ticks(spark, d).groupBy("sequence").agg(F.max_by("frame", F.struct("ts", "event_id")).alias("frame"))
+    held = now.select("sequence", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("frame"))
+    want = now.select("sequence", F.explode(S.window_ahead(F.col("frame"), 4, 48)).alias("frame"))
+    return S.evicted(held, want, ("sequence",))
 
 
 @query("str_frame_gaps", f"WITH {G3}, f AS (SELECT frame, CAST(sum(v) AS DOUBLE) AS total FROM g3 GROUP BY 1) SELECT frame, total, coalesce(frame - lag(frame) OVER (ORDER BY frame), 0) AS gap FROM f")
@@ -530,6 +636,14 @@ def src_orbiting_blob(spark, d):
     return G.orbiting_blob(spark, 6, 24).where("active").groupBy("frame").agg(F.count("*").alias("n"))
 
 
+@query("src_image_round_trip", f"WITH {G3} SELECT frame, x, y, z, v AS value FROM g3")
+def src_image_round_trip(spark, d):
+    """Every frame's grid as the bytes of a file, read again."""
+    images = N.to_images(G.leaves(G.with_active(g3(spark, d)), keys=["frame"]), "frame")
+    back = N.from_images(images, "frame")
+    return G.leaf_voxels(back, ["frame"]).where("active").select("frame", *K.AXES, F.col("value").cast("double").alias("value"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The leaves with most active voxels of G1, with their statistics."""
     return G.with_moments(G.node_stats(g1(spark, d))).orderBy(F.desc("n"), "ox", "oy", "oz").limit(100)

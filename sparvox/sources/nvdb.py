@@ -415,6 +415,21 @@ def to_images(leaf: DataFrame, key: str = "grid_id", **how) -> DataFrame:
     return leaf.select(key, "ox", "oy", "oz", "values", "mask").groupBy(key).applyInPandas(run, f"{key} {kind}, image binary")
 
 
+def from_images(grids: DataFrame, key: str = "grid_id") -> DataFrame:
+    """(key, image) back to the leaves of each grid."""
+    kind = dict(grids.dtypes)[key]
+    names = ["ox", "oy", "oz", "values", "mask", "active_count"]
+    kinds = dict(c.split(maxsplit=1) for c in LEAVES.split(", "))
+
+    def run(frames):
+        for f in frames:
+            for k, image in zip(f[key], f["image"], strict=True):
+                rows = list(_rows("", bytes(image), "leaves", False))
+                yield pd.DataFrame([[k, *[r[n] for n in names]] for r in rows], columns=[key, *names])
+
+    return grids.select(key, "image").mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
 def write(grids: DataFrame, folder: str, key: str = "grid_id", codec: int = 0) -> None:
     """One file a row of (key, image) in a folder that the executors share; a file appears whole or not at all."""
     import os
