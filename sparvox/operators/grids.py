@@ -66,11 +66,12 @@ def leaves(voxels: DataFrame, background: float = 0.0, keys: Sequence[str] = ())
     some = some.where("active_count > 0")
     v, fill = F.col("__v"), F.lit(float(background)).cast("float")
 
-    def with_gap(s: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(v, i - 1)["slot"], F.lit(-1))
-        return F.concat(F.array_repeat(fill, s["slot"] - before - 1), F.array(s["value"]))
+    # Each voxel with the slot before it; the last pair has no voxel and fills up the rest.
+    def with_gap(s: Column, before: Column) -> Column:
+        gap = F.concat(F.array_repeat(fill, s["slot"] - before - 1), F.array(s["value"]))
+        return F.when(s.isNull(), F.array_repeat(fill, F.lit(511) - before)).otherwise(gap)
 
-    filled = F.concat(F.flatten(F.transform(v, with_gap)), F.array_repeat(fill, F.lit(511) - F.element_at(v, -1)["slot"]))
+    filled = F.flatten(F.zip_with(v, F.concat(F.array(F.lit(-1)), v["slot"]), with_gap))
     some = some.withColumn("values", F.when(F.size(v) == 512, F.col("__v.value")).otherwise(filled)).drop("__v")
     whole = F.when(F.size("values") == 512, F.col("values")).otherwise(F.raise_error(F.lit("a voxel occurs twice")).cast("array<float>"))
     return some.withColumn("values", whole)
@@ -78,7 +79,8 @@ def leaves(voxels: DataFrame, background: float = 0.0, keys: Sequence[str] = ())
 
 def leaf_voxels(leaf: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All 512 voxels of every leaf."""
-    rows = leaf.select(*keys, *ORIGIN, "mask", F.posexplode("values").alias("slot", "value"))
+    rows = leaf.select(*keys, *ORIGIN, "mask", "values", F.explode(F.sequence(F.lit(0), F.lit(511))).alias("slot"))  # no filter on values is inferred from this
+    rows = rows.withColumn("value", F.get("values", "slot"))
     at = [F.shiftright("slot", s).bitwiseAND(F.lit(7)) for s in (6, 3, 0)]
     rows = rows.withColumns({a: (F.col(o) + at[i]).cast("int") for i, (a, o) in enumerate(zip(AXES, ORIGIN, strict=True))})
     return rows.select(*keys, *AXES, "value", masks.test_bit(F.col("mask"), F.col("slot")).alias("active"))
