@@ -23,7 +23,7 @@ EQUIVALENT = {
     "licence": "license", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense",
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program",
     "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while",
-    "wilful": "wilfull", "noncommercial": "non commercial", "percent": "per cent", "sublicence": "sublicense", "merchantability": "merchantability",
+    "wilfull": "wilful", "noncommercial": "non commercial", "percent": "per cent", "sublicence": "sublicense",
 }
 
 #: Texts of well-known short licences and of one-line notices.
@@ -65,3 +65,20 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(sorted(KNOWN.items()), "license_id string, text string")
     return scan(documents(spark, sf_dir), known)
+
+
+def _sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spelt = " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in sorted(EQUIVALENT.items()))
+    words = lambda t: rf"trim(regexp_replace(lower(regexp_replace(coalesce({t}, ''), '{COPYRIGHT_LINE}', ' ', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    form = lambda t: f"array_to_string(list_transform(string_split({words(t)}, ' '), lambda w: CASE w {spelt} ELSE w END), ' ')"
+    known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in sorted(KNOWN.items()))
+    return f"""
+WITH known(license_id, text) AS (VALUES {known}),
+digests AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM known WHERE {form("text")} <> '' GROUP BY 1),
+scanned AS (SELECT doc_id, sha256({form("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license_id FROM scanned LEFT JOIN digests USING (digest)
+"""
+
+
+OP8_SQL = _sql()

@@ -39,8 +39,9 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mo
 
 
 def copies_of(rate: Column, doc_id: Column, seed: int) -> Column:
-    """floor(rate) copies and one more with a chance of the fraction, by a hash of the document's id."""
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
+    """floor(rate) copies and one more with a chance of the fraction, by a hash of the document's id that any SQL engine can compute."""
+    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256), 1, 13)
+    unit = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
     return F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)
 
 
@@ -68,3 +69,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+
+
+OP6_SQL = r"""
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY 1),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM totals),
+levels AS (SELECT *, row_number() OVER o AS place,
+    (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighed WINDOW o AS (ORDER BY cap / w, source IS NULL, encode(source))),
+final AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level * w <= cap) * w, cap)) AS target FROM levels),
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM final),
+drawn AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
+    CAST('0x' || substr(sha256('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS unit
+    FROM sizes d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, rate, copies
+FROM (SELECT *, CAST(floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END AS INT) AS copies FROM drawn)
+"""

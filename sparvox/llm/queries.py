@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .hpylm import op2_hpylm
-from .licenses import op8_licenses
+from .licenses import OP8_SQL, op8_licenses
 from .linededup import OP3_SQL, op3_line_dedup
 from .media import op4_media
-from .mixing import op6_mix
+from .mixing import OP6_SQL, op6_mix
 from .packing import op10_pack
 from .quality import op5_quality
 from .rules import op7_rules
@@ -21,4 +21,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_hpylm, op3_line_dedup, op4_media, op5_quality, op6_mix, op7_rules, op8_licenses, op9_shard, op10_pack, pipeline)}
-SQL = {"op3_line_dedup": OP3_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op6_mix": OP6_SQL, "op8_licenses": OP8_SQL}
