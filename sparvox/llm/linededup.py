@@ -78,10 +78,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> Da
     row is the hash of the text: documents that share a doc_id are told apart by it. Keys are hashed once, to 128 bits (two
     hashes under different seeds)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_row(F.col("text")).alias("row"), text_lines(F.col("text")).alias("lines"))  # row is hashed here, once a text: beside the explode it would be once a line
     edges = rows.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = sum((F.when(F.col("id") > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
-    each = rows.select("id", text_row(F.col("text")).alias("row"), batch.cast("int").alias("batch"), F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
+    each = rows.select("id", "row", batch.cast("int").alias("batch"), F.posexplode("lines").alias("pos", "line"))
     each = each.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= min_chars)
     lines = stored(each.select("id", "row", "pos", "batch", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), "batch")
     runs = LevelledRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -107,14 +107,21 @@ def text_row(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def flags_of(places: Column) -> Column:
+    """Booleans up to the largest place, true at the places: unlike the list, it tells of any line in one step."""
+    at = F.array_sort(places)
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1))
+    return F.flatten(F.zip_with(at, before, lambda a, b: F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True)))))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> DataFrame:
     """The documents with repeated lines dropped from text, and n_lines (before) and n_dropped. A text that loses nothing stays as it is."""
-    drops = repeated_lines(docs, min_chars, batches).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+    drops = repeated_lines(docs, min_chars, batches).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.size("drop").cast("long").alias("__n"), flags_of(F.col("drop")).alias("__drop"))
     rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).withColumn("__row", text_row(F.col("text"))).join(drops.hint("merge"), ["__id", "__row"], "left")  # drops grow with the input: never broadcast
-    kept = F.filter(text_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("__drop"), i))
+    kept = F.filter(text_lines(F.col("text")), lambda x, i: ~F.coalesce(F.get("__drop", i), F.lit(False)))
     n_lines = (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    rows = rows.withColumn("n_lines", n_lines).withColumn("n_dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long"))
-    return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__id", "__row", "__drop")
+    rows = rows.withColumn("n_lines", n_lines).withColumn("n_dropped", F.coalesce("__n", F.lit(0).cast("long")))
+    return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__id", "__row", "__n", "__drop")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

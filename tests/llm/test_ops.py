@@ -192,6 +192,17 @@ def test_lines(spark, case):
     assert by_row(queries.op3_line_dedup(spark, d)) == want
 
 
+def test_line_dedup_takes_steps_linear_in_lines(spark):
+    """Two documents of 200,000 lines, every other of them shared: a search of the list of places for each line would take minutes."""
+    from sparvox.llm.linededup import dedup_lines
+
+    text = lambda own: "\n".join(f"a line that both hold, {i}" if i % 2 else f"a line of {own} alone, {i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text("one")), (2, text("two"))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
+    assert found[1]["text"] == text("one") and found[1]["n_dropped"] == 0
+    assert found[2]["n_dropped"] == 100_000 and found[2]["text"].split("\n") == [f"a line of two alone, {i}" for i in range(0, 200_000, 2)]
+
+
 def test_line_runs_compact(spark, tmp_path):
     from sparvox.llm.linededup import repeated_lines
 
