@@ -193,7 +193,7 @@ def test_lines(spark, case):
 
 
 def test_line_dedup_takes_steps_linear_in_lines(spark):
-    """Two documents of 200,000 lines, every other of them shared: a search of the list of places for each line would take minutes."""
+    """Two documents of 200,000 lines, every other of them shared: a search of the list of places, or a hash of the text, for each line takes over a minute."""
     from sparvox.llm.linededup import dedup_lines
 
     text = lambda own: "\n".join(f"a line that both hold, {i}" if i % 2 else f"a line of {own} alone, {i}" for i in range(200_000))
