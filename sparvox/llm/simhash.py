@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, large_strings, stored
@@ -160,6 +160,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, verifi
     return fps.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id", "links")
 
 
+def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles, as in shingle_sets, with the bits of a BIGINT."""
+    w = text.lower().split()
+    joined = b" ".join(w)
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1 if w else np.zeros(1, np.int64)
+    starts = ends - np.array([len(x) for x in w]) if w else np.zeros(1, np.int64)
+    ends = ends[min(words, len(ends)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j]) for i, j in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64))
+
+
+def frequent_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> np.ndarray:
+    """Hashes of shingles that several of about `sample` texts hold. They only order the shingles of `prefixes`: any list gives the same pairs."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(F.lit(9), text_key(F.col("text"))), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
+
+    def run(batches):
+        for batch in batches:
+            for t in large_strings(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_buffer().to_pybytes(), words))], ["token"])
+
+    held = some.select("text").mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(most)
+    return np.array(sorted(r["token"] for r in held.select("token").collect()), np.int64)
+
+
+def prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(text_key, n, tokens) of every distinct text: of its n shingles, in one order for all texts (frequent ones last), so many of the
+    first that two texts of at least this Jaccard similarity have one of them in common."""
+    frequent = frequent_shingles(docs, words)
+
+    def run(batches):
+        for batch in batches:
+            ns, tokens = [], []
+            for t in large_strings(batch.column(0)):
+                grams = shingle_hashes(t.as_buffer().to_pybytes(), words)
+                at = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
+                last = frequent[at] == grams if len(frequent) else np.zeros(len(grams), bool)
+                n = len(grams)
+                ns.append(n)
+                tokens.append(np.concatenate([grams[~last], grams[last]])[: n - int(np.ceil(similarity * n - 1e-6)) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ns, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["text_key", "n", "tokens"])
+
+    found = docs.select("text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "text_key long, n int, tokens array<long>")
+    return found.dropDuplicates(["text_key"])
+
+
+def near_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, text_key, fp, component_id): the components of all pairs of fingerprints within max_bits bits and all pairs of texts whose
+    shingles of `words` words have a Jaccard similarity of at least `similarity`, whatever their fingerprints.
+
+    The latter come from a prefix-filter join, which misses none. First every text of a prefix shingle is compared with three others of
+    it, which joins groups of near copies without their square; then all pairs that are not in one component by then."""
+    fps = stored(fingerprints(docs, shingle))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    close = stored(links(nodes, max_bits).select("a", "b"))
+    fp_of = fps.groupBy("text_key").agg(F.min("fp").alias("fp"))
+
+    def possible(n1, at1, n2, at2):  # at the first shingle in common, the rest bounds how many there can be
+        return F.least(n1 - at1, n2 - at2) >= (n1 + n2) * (similarity / (1 + similarity)) - 1e-6
+
+    rows = stored(prefixes(docs, similarity, words)).select("text_key", "n", F.posexplode("tokens").alias("at", "token"))
+    here, by_token = F.struct("text_key", "n", "at"), Window.partitionBy("token")
+    others = F.array(F.min(here).over(by_token), F.max(here).over(by_token), F.lag(here).over(by_token.orderBy("n", "text_key")))
+    shared = stored(rows.withColumn("others", others).withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"))
+
+    def ordered(pairs):
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    tried = shared.select("text_key", "n", "at", F.explode("others").alias("o")).where(F.col("o.text_key") != F.col("text_key"))
+    tried = tried.where(possible(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")))
+    tried = stored(ordered(tried.select(F.col("text_key").alias("x"), F.col("o.text_key").alias("y"))))
+
+    def kept(pairs):
+        """Of pairs of text keys, the pairs of fingerprints whose texts are similar; only texts in pairs are compared."""
+        need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().hint("merge")  # grows with the input: never broadcast
+        texts = docs.select(text_key(F.col("text")).alias("fp"), "text").join(need, "fp").dropDuplicates(["fp"])
+        sets = stored(shingle_sets(texts, words))
+        both = pairs.join(sets.withColumnsRenamed({"fp": "a", "grams": "ga"}).hint("merge"), "a").join(sets.withColumnsRenamed({"fp": "b", "grams": "gb"}).hint("merge"), "b")
+        found = similar(both, similarity)
+        found = found.join(fp_of.withColumnsRenamed({"text_key": "a", "fp": "fa"}).hint("merge"), "a").join(fp_of.withColumnsRenamed({"text_key": "b", "fp": "fb"}).hint("merge"), "b")
+        return stored(found.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct())
+
+    edges = close.unionByName(kept(tried)).distinct()
+    root = fp_of.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("text_key", F.coalesce("root", "fp").alias("root"))
+    parted = shared.select("token", "text_key", "n", "at").join(root.hint("merge"), "text_key")
+    parted = parted.groupBy("token", "root").agg(F.collect_list(F.struct("text_key", "n", "at")).alias("held"))
+    parted = stored(parted.withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"))
+    one, two = (parted.withColumnsRenamed({"root": f"r{i}", "held": f"h{i}"}) for i in (1, 2))
+    left = one.join(two.hint("merge"), "token").where("r1 < r2").select(F.explode("h1").alias("p"), "h2").select("p", F.explode("h2").alias("q"))
+    left = left.where(possible(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at")))
+    left = ordered(left.select(F.col("p.text_key").alias("x"), F.col("q.text_key").alias("y")))
+    left = stored(left.join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    edges = stored(edges.unionByName(kept(left)).distinct())
+    rooted = nodes.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps.join(rooted.join(least.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")

@@ -21,3 +21,41 @@ def test_near_keeps_one_of_each_group(spark, edge):
     groups = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, verified_bits=5).collect()}
     kept = {r["doc_id"] for r in p.near(spark, docs, edge[0]).collect()}
     assert {d for d in kept if d is not None} == {d for d, c in groups.items() if d is not None and d == c}
+
+
+def test_near_finds_all_similar_texts(spark):
+    """Texts with 0.8 of their shingles in common are found at any distance of fingerprints; in chains and in groups as well."""
+    import numpy as np
+    from sparvox.llm.simhash import fingerprint
+
+    rng = np.random.default_rng(6)
+    vocab, common, texts = [f"w{i}" for i in range(500)], [f"c{i}" for i in range(30)], []
+    for _ in range(25):
+        base = [*rng.choice(vocab, int(rng.integers(20, 90))), *common]
+        for _ in range(8):
+            texts.append(" ".join(base))
+            base = list(base) if rng.random() < 0.5 else [*base, *rng.choice(vocab, int(rng.integers(1, 9)))]
+            for i in rng.choice(len(base), int(rng.integers(0, 4)), replace=False):
+                base[i] = f"n{rng.integers(10**6)}"
+    texts += ["", None, "one", "ONE", "two words", "a b c d", "a b c d e", "a b c d e f"]
+    words = [(t or "").lower().encode().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    fps = [fingerprint((t or "").encode()) for t in texts]
+    root, far = list(range(len(texts))), 0
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = ((fps[i] ^ fps[j]) & ((1 << 64) - 1)).bit_count()
+            similar = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            far += similar and bits > 5
+            if bits <= 3 or similar:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert far > 20
+    assert {r["doc_id"] for r in p.near(spark, docs, "").collect()} == {i for i in range(len(texts)) if find(i) == i}
