@@ -3,7 +3,7 @@
 The media form is a WAV file of 8-bit mono samples. A rolling gear hash cuts it; every chunk has a SHA-256 digest. Executors
 write compressed chunks to a store table, each digest once per task; Spark joins on digests pick one stored copy of each digest
 for all documents. Documents keep the media's digest and the ordered list of chunk digests. Reading back takes only stored
-bytes: a medium of one chunk is verified where it lies, a longer one is assembled from its list, once per distinct medium.
+bytes: a medium is assembled from its list, once per distinct medium, whether the list has one chunk or many.
 
 Defined results: a null text is an empty payload of 64 zero bytes; null doc_ids and repeated rows pass through.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, large_strings, slices, stored
 
+#: Chunk sizes of the store, set to texts of 1.5 kB: least bytes, bits of the gear hash (2 kB on average above the least), most bytes.
+SIZES = (512, 11, 16 << 10)
 RATE = 8000
 HEADER = 44
 #: One pseudo-random 32-bit number for each byte value, by rule: the first bytes of its SHA-256.
@@ -74,8 +76,8 @@ def feature(payload: bytes) -> str:
 
 
 def landed(docs: DataFrame, level: int = 9) -> DataFrame:
-    """A table of two kinds of rows: documents (doc_id, n_bytes, media, chunks: ordered digests) and chunks (digest, segment, whole, data).
-    whole: the chunk is a medium of its own. segment: where it was written, the task and a number; a task writes a digest once."""
+    """A table of two kinds of rows: documents (doc_id, n_bytes, media, chunks: ordered digests) and chunks (digest, segment, data).
+    segment: where it was written, the task and a number; a task writes a digest once."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -87,23 +89,23 @@ def landed(docs: DataFrame, level: int = 9) -> DataFrame:
                 for doc_id, text in zip(batch.column(0).to_pylist(), large_strings(batch.column(1)), strict=True):
                     raw = text.as_buffer().to_pybytes()
                     media = wav(padded(raw))
-                    ends, begin, digests = cuts(media), 0, []
+                    ends, begin, digests = cuts(media, *SIZES), 0, []
                     for end in ends:
                         chunk = media[begin:end]
                         begin = end
                         digests.append(digest := hashlib.sha256(chunk).digest())
-                        if (key := (digest[:16], len(ends) == 1)) not in seen:
+                        if (key := digest[:16]) not in seen:
                             if len(seen) > 1_000_000:  # bounded memory: a digest may then be written again, and is still picked once
                                 seen.clear()
                             seen.add(key)
                             segment += 1
-                            rows.append((None, None, None, None, digest, segment, len(ends) == 1, pack.compress(chunk)))
-                    rows.append((doc_id, len(raw), digests[0] if len(ends) == 1 else hashlib.sha256(media).digest(), digests, None, None, None, None))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
-                names = ["doc_id", "n_bytes", "media", "chunks", "digest", "segment", "whole", "data"]
+                            rows.append((None, None, None, None, digest, segment, pack.compress(chunk)))
+                    rows.append((doc_id, len(raw), digests[0] if len(ends) == 1 else hashlib.sha256(media).digest(), digests, None, None, None))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.binary()]
+                names = ["doc_id", "n_bytes", "media", "chunks", "digest", "segment", "data"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "doc_id long, n_bytes long, media binary, chunks array<binary>, digest binary, segment long, whole boolean, data binary"
+    schema = "doc_id long, n_bytes long, media binary, chunks array<binary>, digest binary, segment long, data binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -124,17 +126,6 @@ def _emit(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def verify_whole(chunks: DataFrame) -> DataFrame:
-    """Read back stored chunks (digest, data) that are media of their own."""
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            yield _emit([_read_back(unpack.decompress(d), k) for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
-
-    return chunks.select("digest", "data").mapInArrow(run, READ)
-
-
 def assemble(parts: DataFrame) -> DataFrame:
     """Rebuild media from parts (media, seq, data): rows of a medium meet in one task in the order of seq, and one medium is held at a time."""
 
@@ -160,17 +151,13 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, ...): what is read back of each document's medium. The store stays in the shared folder."""
     land = stored(landed(docs))
     refs = land.where("media IS NOT NULL").select("doc_id", "n_bytes", "media", "chunks")
-    store = land.where("digest IS NOT NULL").select("digest", "segment", "whole", "data")
-    # Whole media are read back where they lie: no stored bytes move. One result of each digest stays.
-    whole = verify_whole(store.where("whole")).dropDuplicates(["media"])
-    # Parts meet their lists by digest. The index of digests picks one stored copy of each; segment <= kept holds for that one alone.
-    parts = store.where("NOT whole")
-    index = parts.groupBy("digest").agg(F.min("segment").alias("kept"))
-    single = parts.join(index, "digest").where("segment <= kept").select("digest", "data")
-    lists = refs.where(F.size("chunks") > 1).groupBy("media").agg(F.first("chunks").alias("chunks"))
+    store = land.where("digest IS NOT NULL").select("digest", "segment", "data")
+    # Chunks meet their lists by digest. The index of digests picks one stored copy of each; segment <= kept holds for that one alone.
+    index = store.groupBy("digest").agg(F.min("segment").alias("kept"))
+    single = store.join(index, "digest").where("segment <= kept").select("digest", "data")
+    lists = refs.groupBy("media").agg(F.first("chunks").alias("chunks"))
     wanted = lists.select("media", F.posexplode("chunks").alias("seq", "digest"))
-    long_ones = assemble(wanted.join(single, "digest"))
-    read = stored(whole.unionByName(long_ones))
+    read = stored(assemble(wanted.join(single, "digest")))
     return refs.select("doc_id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media").drop("media")
 
 

@@ -239,6 +239,18 @@ def test_media_chunks():
     assert len({len(data) - e for e in ends} & {len(data) + 15 - e for e in moved}) > 0.8 * len(ends)
 
 
+def test_media_short_texts_share_chunks(spark):
+    """Near copies of a few kB are cut by content, and what they share has one digest."""
+    from sparvox.llm.media import landed
+
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcdefghijklmnop "), 12_000))
+    docs = spark.createDataFrame([(0, base), (1, "some words before " + base), (2, base + " and after")], "doc_id long, text string")
+    lists = {r["doc_id"]: [bytes(c) for c in r["chunks"]] for r in landed(docs).where("media IS NOT NULL").collect()}
+    assert all(len(x) > 2 for x in lists.values())
+    assert all(len(set(lists[0]) & set(lists[i])) >= len(lists[0]) - 3 for i in (1, 2))
+
+
 def test_quality(spark, case):
     d, rows = case
     got = queries.op5_quality(spark, d).collect()
