@@ -4,11 +4,17 @@ A text's canonical form has no case, punctuation, copyright lines or spelling va
 digests of known licence texts in the same form. So whole texts are found however they are set, and nothing is found in
 part. A copyright line goes where it stands as a line of its own.
 
+The digest that is returned is of that form. Licences are also looked up by a second one, which drops only copyright lines that name a year
+or holder, and title lines, list numbers and the holder's name in BSD's third clause; it is made of `texts()`: KNOWN, more notices and the
+whole texts in license_texts. The SQL states the first form with KNOWN alone.
+
 Defined results: null and empty texts have the digest of the empty form and no licence; null doc_ids and repeated rows pass.
 """
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +45,41 @@ KNOWN = {
 COPYRIGHT_LINE = r"(?im)^[\x20\x09*/#;.-]*(?:copyright\b|\(c\)|©).*$"
 
 
+#: More one-line notices.
+NOTICES = {
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+}
+
+YEAR = r"[<\[{]?(?:\d{4}|years?\b|yyyy)"
+OWNER_LINE = rf"(?im)^[\x20\x09*/#;.-]*(?:copyright[\x20\x09]*(?:\(c\)|©|{YEAR})|\(c\)[\x20\x09]*(?:copyright\b|{YEAR})|©|copyright\b.*\b(?:19|20)\d\d\b|all rights reserved\.?[\x20\x09]*$).*$"
+TITLE_LINE = r"(?im)^[\x20\x09*/#]*(?:the[\x20])?(?:mit|isc|(?:zero[\x20-]clause|0-clause)[\x20]bsd|bsd[\x20]zero[\x20]clause|(?:bsd[\x20])?[23]-clause(?:[\x20]bsd)?|bsd)[\x20]licen[cs]e(?:[\x20]\((?:mit|isc|0bsd|bsd-[23]-clause)\))?:?[\x20\x09]*$"
+LIST_NUMBER = r"(?im)^[\x20\x09]*(?:\d{1,2}|[a-z])[.)][\x20\x09]+"
+HOLDER = r"neither the name of (?:[^\x20]+\x20){1,16}?nor the names"
+
+
+def texts() -> dict[str, str]:
+    """All known texts and notices by licence."""
+    whole = {f.name.removesuffix(".txt"): f.read_text() for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+    return {**whole, **NOTICES, **KNOWN}
+
+
+def lookup_form(text: Column) -> Column:
+    """The canonical form without title lines, list numbers and holders, and with the lines of the text that only begin with 'copyright'."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "")
+    for line in (OWNER_LINE, TITLE_LINE, LIST_NUMBER):
+        text = F.regexp_replace(text, line, " ")
+    return F.regexp_replace(_spelt(text), HOLDER, "neither the name of the copyright holder nor the names")
+
+
 def canonical(text: Column) -> Column:
     """Lower-case words of letters and digits with single spaces; no copyright lines; one spelling."""
-    words = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " ")), r"[^\p{L}\p{N}]+", " ")
+    return _spelt(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, " "))
+
+
+def _spelt(text: Column) -> Column:
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
     spelt = F.transform(F.split(F.trim(words), " "), lambda w: F.coalesce(F.element_at(_spellings(), w), w))
     return F.array_join(spelt, " ")
 
@@ -58,12 +96,15 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, digest, license_id) of every document, license_id null where its whole text is no known licence (license_id, text).
 
     Two licences with one canonical form count as the first by name. Spark broadcasts the known digests only while they are small."""
-    table = known.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    return docs.select("doc_id", digest(F.col("text")).alias("digest")).join(stored(table), "digest", "left").select("doc_id", "digest", "license_id")
+    forms = known.select("license_id", F.explode(F.array(canonical(F.col("text")), lookup_form(F.col("text")))).alias("form"))
+    table = stored(forms.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id")))
+    found = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.sha2(lookup_form(F.col("text")), 256).alias("looked_up"))
+    found = found.join(table, "digest", "left").join(table.select(F.col("digest").alias("looked_up"), F.col("license_id").alias("other")), "looked_up", "left")
+    return found.select("doc_id", "digest", F.coalesce("license_id", "other").alias("license_id"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(sorted(KNOWN.items()), "license_id string, text string")
+    known = spark.createDataFrame(sorted(texts().items()), "license_id string, text string")
     return scan(documents(spark, sf_dir), known)
 
 

@@ -357,6 +357,23 @@ def test_licenses(spark, case):
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "MIT-notice"}
 
 
+def test_licenses_as_published(spark, tmp_path):
+    """Whole texts with titles, holders and standard wrapping are found, and lines of a body that begin with 'copyright' count."""
+    import textwrap
+
+    from sparvox.llm.licenses import KNOWN, texts
+
+    isc = KNOWN["ISC"].replace("the above copyright notice and", "the above\ncopyright notice and")
+    bsd = texts()["BSD-3-Clause"]
+    want = [("ISC License\n\nCopyright (c) 2004-2010 Some Body\n\n" + isc, "ISC"), ("The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + textwrap.fill(KNOWN["MIT"], 78), "MIT")]
+    want += [("Copyright (c) 2001, Acme\nAll rights reserved.\n\n" + bsd.replace("the copyright holder nor", "Acme Inc. nor"), "BSD-3-Clause"), (texts()["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause")]
+    want += [(textwrap.dedent(texts()[x]), x) for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0")]
+    want += [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-notice"), (isc.replace("copyright notice and this permission notice", "copyright and nothing else"), None), ("MIT License", None), (bsd + " extra", None)]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["license_id"] for r in queries.op8_licenses(spark, str(tmp_path)).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(want)}
+
+
 def test_shards(spark, case):
     d, rows = case
     got = queries.op9_shard(spark, d).collect()
