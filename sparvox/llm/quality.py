@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, chars: int = 20_
     made = []
     for q in (1, 0):
         texts = by[q][::2]
-        pieces = [t[i : i + 2000] for t in texts for i in range(0, min(len(t), 6000), 2000)]
+        pieces = [t[i : i + 2000] for t in texts for i in range(0, len(t), 2000)]
         made.append(zstandard.train_dictionary(min(DICTIONARY_BYTES, max(4096, sum(map(len, pieces)) // 4)), pieces).as_bytes())
     sizes = _sizer(*made, level)
     rest = [(t, q) for q in (0, 1) for t in by[q][1::2]]

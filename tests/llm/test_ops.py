@@ -260,6 +260,20 @@ def test_quality(spark, case):
         assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0)
 
 
+def test_quality_dictionaries_take_whole_samples(spark, monkeypatch):
+    """Every byte of a sampled text within `chars` reaches a dictionary."""
+    from sparvox.llm import quality
+
+    rng = np.random.default_rng(7)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(2500))
+    rows = [(text().encode(), i % 2) for i in range(80)]
+    seen, train = [], quality.zstandard.train_dictionary
+    monkeypatch.setattr(quality, "labelled_sample", lambda *_: rows)
+    monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, pieces: seen.append(pieces) or train(size, pieces))
+    quality.fit(None, None)
+    assert [b"".join(x) for x in seen] == [b"".join([t for t, y in rows if y == q][::2]) for q in (1, 0)]
+
+
 def test_quality_accuracy(spark):
     d = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
