@@ -1,23 +1,27 @@
 """A hierarchical Pitman-Yor language model of word tokens, trained and applied without gathering the corpus anywhere.
 
-Model: every context has a restaurant whose dishes are tokens; the context is the token before. The most frequent training
-words have restaurants of their own, all other words share some by their last byte, so the list of restaurants is bounded.
-All context restaurants share one parent, whose base is uniform over the known tokens and one for all unknown ones. The
-tables that contexts open are the parent's customers.
-
-Sampling: restaurants depend on each other only through the parent's predictive probabilities and the table totals. A round
-seats every dish of every restaurant anew given those of the last round, and then takes customers up and seats them again
-(Gibbs): a customer sits alone with the chance that the Pitman-Yor seating of c customers at t tables gives, and returns
-to a new table with the chance of the parent's probability. Rounds after burn-in are samples; predictive probabilities are
-averaged over them.
-
-Data flow: documents become chunks of token codes (about chunk_tokens tokens), one row each. A chunk sends, for each of its
-words, its counts by context to the block that owns the word; a hot word costs one row of bounded size a chunk. Blocks hold
-counts, sample, and sum tables per restaurant (a bounded list) between rounds; draws are seeded, so a lost task repeats
-itself. At last every block answers each chunk with the probabilities that the chunk asked for, and chunks sum them up.
+Model: every pair of tokens that precedes a token has a restaurant of its own, whose dishes are tokens. Its parent is the
+restaurant of the nearer token of the pair, shared by all pairs that end in it; the parent of those is one restaurant without
+context, whose base is uniform over the known tokens and one for all unknown ones. The tables of a restaurant are its
+parent's customers. The tokens before a document's first are ends.
+
+Sampling: the first seating has one table a dish. A round then draws every dish's tables anew (blocked Gibbs) from their law
+given all others as the round before left them: P(t) in proportion to S(c, t) * a ** t, c the customers, S the generalised
+Stirling numbers of the discount, and a = (strength + discount * tables) * the parent's probability. Restaurants are sampled
+side by side, so a is that of the round before. The seating is carried from round to round; rounds after burn-in are samples,
+and predictive probabilities are averaged over them.
+
+Data flow. Documents become chunks of token codes, one row each. Parts of the vocabulary, dealt out by hash, count the words
+of all chunks and give them ids. A chunk then sends its distinct triples, with their counts, to blocks dealt out by the nearer
+context token, so that a block holds whole restaurants and their parents; a token that is frequent has its triples dealt out by
+both context tokens, and its dishes are summed in the parts, which also hold the restaurant without context. A round is two
+exchanges: blocks send tables by dish, parts answer with probabilities. At last every block answers each chunk what it asked for.
+The driver holds totals of the frequent tokens alone, at most 8 a block. All tables lie in the shared folder and draws are
+seeded, so a lost task repeats itself.
 
 Defined results: a null text is empty: one end token. A null doc_id counts as the text '' for the split. Repeated rows train
-and score one by one. With no training rows every token is unknown.
+and score one by one. With no training rows every token is unknown. An empty table gives no rows. Texts of any length are
+tokenised whole, and a chunk holds at least one. Other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,10 +37,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, large_strings, slices, split_words, stored, training_row
+from .common import bucketed, documents, large_strings, release, slices, split_words, stored, training_row
 
-OWN, SHARED = 192, 64
-RESTAURANTS = OWN + SHARED
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 
 
@@ -52,8 +54,45 @@ def _smallest(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 21) -> DataFrame:
-    """(chunk, n_train, top, data): data has the tokens of whole documents as codes of the chunk's own list of words."""
+def _steps(x: np.ndarray) -> np.ndarray:
+    """A rising array as steps, which take less room; np.cumsum undoes it."""
+    return _smallest(np.diff(x, prepend=0))
+
+
+def _sums(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, n, size).astype(np.int64)
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted distinct rows of some columns of whole numbers from 0, and where each row stands among them."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    if sum(bits) < 64:
+        key = np.zeros(len(columns[0]), np.int64)
+        for c, b in zip(columns, bits, strict=True):
+            key = key << b | c.astype(np.int64)
+        key, where = np.unique(key, return_inverse=True)
+        out = []
+        for b in reversed(bits):
+            out.append(key & ((1 << b) - 1))
+            key = key >> b
+        return out[::-1], where
+    if len(columns) == 2:
+        order = np.lexsort(columns[::-1])
+        a, b = columns[0][order], columns[1][order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        where = np.empty(len(order), np.int64)
+        where[order] = np.cumsum(new) - 1
+        return [a[new], b[new]], where
+    first, rest = _distinct(*columns[:2])  # number the first two columns together, and try again
+    found, where = _distinct(rest, *columns[2:])
+    return [first[0][found[0]], first[1][found[0]], *found[1:]], where
+
+
+# ---- chunks and their vocabulary
+
+
+def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 20) -> DataFrame:
+    """(chunk, n_train, n_tokens, data): data has the tokens of whole documents as codes of the chunk's own list of words."""
 
     def made(part: int, n: int, held: list) -> tuple:
         doc_ids, flags, texts = [], [], []
@@ -65,29 +104,23 @@ def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 21) -> DataFrame:
         coded = pc.dictionary_encode(words)
         spelt = coded.dictionary.cast(pa.large_binary()).to_pylist()
         hashes = np.array([*[xxhash.xxh64_intdigest(w) - (1 << 63) for w in spelt], END], np.int64)
-        endings = np.array([*[w[-1] & (SHARED - 1) for w in spelt], 0], np.uint8)
         # The end token has the last code; it stands after each document's words.
         tokens = np.full(len(words) + len(lengths), len(spelt), np.uint32)
-        ends = np.cumsum(lengths + 1) - 1
         inner = np.ones(len(tokens), bool)
-        inner[ends] = False
+        inner[np.cumsum(lengths + 1) - 1] = False
         tokens[inner] = coded.indices.to_numpy(zero_copy_only=False)
-        train = np.repeat(~np.array(flags, bool), lengths + 1)
-        count = np.bincount(tokens[train], minlength=len(hashes))
-        first = np.argsort(-count, kind="stable")[: 4 * OWN]
-        first = first[count[first] > 0]
-        top = [{"h": int(hashes[i]), "n": int(count[i])} for i in first]
-        data = _squeeze({"doc_ids": doc_ids, "held": np.array(flags, bool), "lengths": lengths + 1, "tokens": tokens, "hashes": hashes, "endings": endings})
-        return part << 32 | n, int(train.sum()), top, data
+        held_ = np.array(flags, bool)
+        data = _squeeze({"doc_ids": doc_ids, "held": held_, "lengths": lengths + 1, "tokens": _smallest(tokens), "hashes": hashes})
+        return part << 32 | n, int((lengths + 1)[~held_].sum()), len(tokens), data
 
     def run(batches):
         from pyspark import TaskContext
 
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
         def row(x):
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds, strict=True)], ["chunk", "n_train", "top", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds, strict=True)], ["chunk", "n_train", "n_tokens", "data"])
 
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
@@ -100,268 +133,488 @@ def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 21) -> DataFrame:
         if held:
             yield row(made(part, n, held))
 
-    return docs.select("doc_id", "text", held_out.alias("held")).mapInArrow(run, "chunk long, n_train long, top array<struct<h: long, n: long>>, data binary")
-
+    return docs.select("doc_id", "text", held_out.alias("held")).mapInArrow(run, "chunk long, n_train long, n_tokens long, data binary")
 
-def _pairs(chunk: dict, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes word * RESTAURANTS + context of a chunk, and where each token's stands. own: sorted hashes of words with restaurants of their own."""
-    at = np.searchsorted(own, chunk["hashes"])
-    mine = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == chunk["hashes"]) if len(own) else np.zeros(len(chunk["hashes"]), bool)
-    context = np.where(mine, at, OWN + chunk["endings"]).astype(np.int64)
-    tokens = chunk["tokens"]
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]  # the token before a document's first is the end of the one before it
-    before[0] = len(chunk["hashes"]) - 1
-    return np.unique(tokens.astype(np.int64) * RESTAURANTS + context[before], return_inverse=True)
 
+def _train(chunk: dict) -> np.ndarray:
+    return np.repeat(~chunk["held"], chunk["lengths"])
 
-def _blobs(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary array whose values are data between starts (in items)."""
-    data = np.ascontiguousarray(data)
-    offsets = (starts * data.dtype.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
+def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by part and hash, and where each part starts in it."""
+    part = hashes % parts
+    order = np.lexsort((hashes, part))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-def _flat(column: pa.Array, dtype) -> np.ndarray:
-    """The bytes of all of a binary column's values in a row."""
-    column = column.cast(pa.large_binary())
-    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    return np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].copy().view(dtype) if raw and len(column) else np.zeros(0, dtype)
 
+def vocabulary(table: DataFrame, parts: int, hot: int) -> DataFrame:
+    """(part, chunk, known, often, data). For each chunk and part: the ids and training counts of the chunk's words, in the order of
+    _by_part; an id leaves the remainder part by parts. One row of each part has no chunk, the number of known words, and the ids and
+    counts of words that stand more than `hot` times."""
 
-def counts(table: DataFrame, own: np.ndarray) -> DataFrame:
-    """(chunk, h, contexts, ns): for each word of each chunk, the contexts it stands in and how often it does so in training rows."""
-
-    def run(batches):
+    def sent(batches):
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk = _unsqueeze(data)
-                codes, where = _pairs(chunk, own)
-                n = np.bincount(where[np.repeat(~chunk["held"], chunk["lengths"])], minlength=len(codes)).astype(np.uint32)
-                del where
-                starts = np.searchsorted(codes, np.arange(len(chunk["hashes"]) + 1) * RESTAURANTS)
-                names = ["chunk", "h", "contexts", "ns"]
-                whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(starts) - 1, key)), pa.array(chunk["hashes"]), _blobs((codes % RESTAURANTS).astype(np.uint8), starts), _blobs(n, starts)], names)
-                for at in range(0, whole.num_rows, 50_000):
-                    yield whole.slice(at, 50_000)
+                n = _sums(chunk["tokens"][_train(chunk)], None, len(chunk["hashes"]))
+                order, at = _by_part(chunk["hashes"], parts)
+                rows = [(p, key, _squeeze((chunk["hashes"][order[a:b]], _smallest(n[order[a:b]])))) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "chunk", "data"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        part, keys = group.column("part")[0].as_py(), group.column("chunk").to_pylist()
+        lists = [_unsqueeze(x) for x in group.column("data").to_pylist()]
+        words, where = np.unique(np.concatenate([h for h, _ in lists]), return_inverse=True)
+        c = _sums(where, np.concatenate([n for _, n in lists]), len(words))
+        ids, at = np.arange(len(words)) * parts + part, np.cumsum([0, *[len(h) for h, _ in lists]])
+        often = [{"id": int(ids[i]), "n": int(c[i])} for i in np.flatnonzero(c > hot)]
+        rows = [(part, None, int((c > 0).sum()), often, None)]
+        rows += [(part, k, 0, [], _squeeze((_smallest(ids[where[a:b]]), _smallest(c[where[a:b]])))) for k, a, b in zip(keys, at, at[1:])]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])), pa.binary()]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "chunk", "known", "often", "data"])
+
+    rows = table.select("chunk", "data").mapInArrow(sent, "part long, chunk long, data binary")
+    return rows.groupBy("part").applyInArrow(merged, "part long, chunk long, known long, often array<struct<id: long, n: long>>, data binary")
+
+
+def _named(chunk: dict, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and training counts of a chunk's words, from the parts' replies (key: part, data)."""
+    found = sorted(zip(replies.column("key").to_pylist(), replies.column("data").to_pylist(), strict=True))
+    lists = [_unsqueeze(x) for _, x in found]
+    order, _ = _by_part(chunk["hashes"], parts)
+    ids, c = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    ids[order] = np.concatenate([x for x, _ in lists])
+    c[order] = np.concatenate([x for _, x in lists])
+    return ids, c
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that look random, of each whole number."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def triples(chunk: dict, ids: np.ndarray, model: dict) -> dict:
+    """The chunk's distinct triples v (token before), u (the one before that) and w, by block and then by their ids; which tokens are
+    which (where); and how often each stands in training rows (n)."""
+    order = np.argsort(ids)
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    w, end = rank[chunk["tokens"]], rank[len(ids) - 1]
+    starts = np.cumsum(chunk["lengths"]) - chunk["lengths"]
+    v = np.append(end, w[:-1])  # the token before a document's first is the end of the one before it
+    u = np.append(end, v[:-1])
+    u[starts] = end
+    if model["order"] == 2:
+        u[:] = end
+    (v, u, w), where = _distinct(v, u, w)
+    v, u, w = (ids[order][x] for x in (v, u, w))
+    n = _sums(where[_train(chunk)], None, len(w))
+    hot = np.isin(v, model["hot"])
+    block = (_mixed(np.where(hot, _mixed(v) ^ u.astype(np.uint64), v)) % np.uint64(model["blocks"])).astype(np.int64)
+    turn = np.argsort(block, kind="stable")
+    place = np.empty(len(turn), np.int64)
+    place[turn] = np.arange(len(turn))
+    return {"v": v[turn], "u": u[turn], "w": w[turn], "n": n[turn], "where": place[where], "at": np.searchsorted(block[turn], np.arange(model["blocks"] + 1))}
+
+
+def _runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where a new pair starts in rows sorted by pairs."""
+    return np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def requests(table: DataFrame, words: DataFrame, model: dict) -> DataFrame:
+    """(block, chunk, data): each chunk's triples for each block, context by context."""
 
-    return table.select("chunk", "data").mapInArrow(run, "chunk long, h long, contexts binary, ns binary")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for key, data in zip(left.column("chunk").to_pylist(), left.column("data").to_pylist(), strict=True):
+            chunk = _unsqueeze(data)
+            t = triples(chunk, _named(chunk, right, model["parts"])[0], model)
+            for b, (i, j) in enumerate(zip(t["at"], t["at"][1:])):
+                if j > i:
+                    v, u, w, n = (t[k][i:j] for k in ("v", "u", "w", "n"))
+                    first = _runs(v, u)
+                    rows.append((b, key, _squeeze((_steps(v[first]), _smallest(u[first]), _steps(first), _smallest(w), _smallest(n)))))
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "chunk", "data"])
 
+    return table.select("chunk", "data").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, "block long, chunk long, data binary")
 
-def blocks(sent: DataFrame, n: int) -> DataFrame:
-    """(known, data): the words of a part of the hash space with their counts by context, and which chunk asked for what."""
 
-    def run(batches):
-        keep = [b for b in batches if b.num_rows]
-        if not keep:
-            return
-        chunk = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in keep])
-        h = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in keep])
-        contexts = np.concatenate([_flat(b.column(2), np.uint8) for b in keep])
-        ns = np.concatenate([_flat(b.column(3), np.uint32) for b in keep])
-        sizes = np.concatenate([pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False) for b in keep]).astype(np.int64)
-        del keep
-        hashes, word = np.unique(h, return_inverse=True)
-        codes, where = np.unique(np.repeat(word, sizes) * RESTAURANTS + contexts, return_inverse=True)
-        total = np.bincount(where, ns, len(codes)).astype(np.int64)
-        first = np.searchsorted(codes, np.arange(len(hashes)) * RESTAURANTS)  # where a request's answers start; each is stored as a step from there
-        step = (where - np.repeat(first[word], sizes)).astype(np.uint8)
-        data = {"hashes": hashes, "word": _smallest(codes // RESTAURANTS), "context": (codes % RESTAURANTS).astype(np.uint8), "n": _smallest(total), "chunk": chunk, "asks": _smallest(word), "sizes": sizes.astype(np.uint16), "step": step}
-        known = int((np.bincount(codes // RESTAURANTS, total, len(hashes)) > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([known]), pa.array([_squeeze(data)], pa.binary())], ["known", "data"])
-
-    return sent.repartition(n, "h").mapInArrow(run, "known long, data binary")
+# ---- seating
 
 
 @lru_cache(maxsize=4)
-def _alone(discount: float, most: int = 256) -> np.ndarray:
-    """[c, t]: the chance that one of c customers at t tables sits alone, by generalised Stirling numbers."""
+def stirling(discount: float, most: int = 1024) -> np.ndarray:
+    """[c, t]: logarithms of the generalised Stirling numbers S(c, t), by S(c + 1, t) = S(c, t - 1) + (c - discount * t) * S(c, t)."""
     s = np.full((most + 1, most + 1), -np.inf)
     s[0, 0] = 0.0
-    out = np.zeros((most + 1, most + 1))
     t = np.arange(1, most + 1)
     for c in range(1, most + 1):
         with np.errstate(divide="ignore", invalid="ignore"):
-            more = np.where(c - 1 - discount * t > 0, np.log(np.maximum(c - 1 - discount * t, 1e-300)) + s[c - 1, 1:], -np.inf)
-            s[c, 1:] = np.logaddexp(s[c - 1, :-1], more)
-            out[c, 1:] = np.where(np.isfinite(s[c, 1:]), np.exp(s[c - 1, :-1] - s[c, 1:]), 0)
-    return out
+            more = np.where(t < c, np.log(np.maximum(c - 1 - discount * t, 1e-300)) + s[c - 1, 1:], -np.inf)
+        s[c, 1:] = np.logaddexp(s[c - 1, :-1], more)
+    return s
 
 
-def seat(rng: np.random.Generator, c: np.ndarray, weight: np.ndarray, discount: float, sweeps: int = 6, steps: int = 64) -> np.ndarray:
-    """Tables that c customers of one dish take, for each of many dishes; weight: (strength + discount * tables) * the parent's probability.
+def seat(rng: np.random.Generator, c: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
+    """Tables of each of many dishes with c customers, drawn from P(t) in proportion to S(c, t) * weight ** t.
 
-    Customers come one by one; past `steps` of them they come in groups of a sixteenth of those seated, each with the chance of the
-    group's middle, so that a dish takes a number of steps that grows with the logarithm of its customers. Then come Gibbs steps:
-    one customer of each dish gets up and is seated again."""
+    Up to 1,024 customers by the numbers themselves. Beyond, they are the coefficients of a compound Poisson law, which gives the mean
+    and variance of t; where these agree, all tables but one are Poisson, else t is close to normal (tests hold it to the exact law)."""
     t = np.minimum(c, 1).astype(np.int64)
-    many = np.flatnonzero(c > 1)
-    order = many[np.argsort(-c[many], kind="stable")]
-    cs, a, ts = c[order].astype(np.int64), weight[order], np.ones(len(order), np.int64)
-    for j in range(1, steps):
-        n = int(np.searchsorted(-cs, -j, side="left"))  # dishes with more than j customers
-        if not n:
+    if not len(c):
+        return t
+    numbers = stirling(discount)
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    for k, i, j in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        if k < 2:
+            continue
+        if k >= len(numbers):
+            at = order[i:]
+            t[at] = _many(rng, c[at].astype(float), weight[at], discount)
             break
-        ts[:n] += rng.random(n) * (a[:n] + j - discount * ts[:n]) < a[:n]
-    j = steps
-    while n := int(np.searchsorted(-cs, -j, side="left")):
-        leap = max(1, j // 16)
-        m = np.minimum(leap, cs[:n] - j)
-        ts[:n] += rng.binomial(m, a[:n] / (a[:n] + j + (m - 1) / 2 - discount * ts[:n]))
-        j += leap
-    alone = _alone(discount)
-    small, limit = cs < len(alone), len(alone) - 1
-    for _ in range(sweeps):
-        chance = np.where(small, alone[np.minimum(cs, limit), np.minimum(ts, limit)], discount * ts / np.maximum(cs, 1))
-        ts = ts - ((rng.random(len(ts)) < chance) & (ts > 1))
-        ts = ts + (rng.random(len(ts)) * (a + cs - 1 - discount * ts) < a)
-    t[order] = ts
+        base, span = numbers[k, 1 : k + 1], np.arange(1.0, k + 1)
+        step = max(1, (1 << 20) // k)
+        for a in range(i, j, step):
+            at = order[a : min(j, a + step)]
+            if k == 2:
+                t[at] += rng.random(len(at)) * (weight[at] + 1 - discount) < weight[at]
+                continue
+            p = base + np.log(weight[at])[:, None] * span
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            t[at] = 1 + (p < (rng.random(len(at)) * p[:, -1])[:, None]).sum(axis=1)
     return t
 
 
-class Sampler:
-    """Rounds of sampling over one block, given the totals of every earlier round."""
+def _many(rng: np.random.Generator, c: np.ndarray, a: np.ndarray, discount: float) -> np.ndarray:
+    # Tables come as a Poisson number of mean a * f(x), f(x) = (1 - y ** d) / d, y = 1 - x; x is such that c customers are expected.
+    low, high = np.zeros(len(c)), np.ones(len(c))
+    for _ in range(60):
+        y = (low + high) / 2
+        over = a * (1 - y) > c * y ** (1 - discount)
+        low, high = np.where(over, y, low), np.where(over, high, y)
+    mean = a * (1 - y**discount) / discount
+    spread = mean - c * y / (y + (1 - y) * (1 - discount))
+    poisson = 1 + rng.poisson(np.minimum(mean, 1e12))
+    normal = np.rint(mean + 1 + np.sqrt(np.maximum(spread, 0)) * rng.standard_normal(len(c)))
+    return np.clip(np.where(spread > 0.9 * mean, poisson, normal), 1, c).astype(np.int64)
+
+
+# ---- blocks: the restaurants of two and of one token of context
+
+
+def block_of(lists: list[tuple], model: dict) -> tuple[dict, list[np.ndarray], np.ndarray]:
+    """The restaurants of a block from its chunks' triples; where the triples of each chunk stand; and the keys (part, hot, rank) of
+    the dishes that are passed on: hot is 0 for a word, and 1 + a frequent token's place in the list for a word after it.
+
+    Triples are sorted by v, u and w, pairs (dishes of v) by v and w; `outer` says which key a pair goes by."""
+    vs, us, ws, ns = [], [], [], []
+    for steps, u, first, w, n in lists:
+        sizes = np.diff(np.append(np.cumsum(first, dtype=np.int64), len(w)))
+        vs.append(np.repeat(np.cumsum(steps, dtype=np.int64), sizes))
+        us.append(np.repeat(u.astype(np.int64), sizes))
+        ws.append(w.astype(np.int64))
+        ns.append(n)
+    at = np.cumsum([0, *[len(w) for w in ws]])
+    named, (v, u, w) = [], (np.concatenate(x) for x in (vs, us, ws))
+    del vs, us, ws
+    dense = []
+    for x in (v, u, w):
+        values, x = np.unique(x, return_inverse=True)
+        named.append(values)
+        dense.append(x)
+    (v, u, w), where = _distinct(*dense)
+    del dense
+    n = _sums(where, np.concatenate(ns), len(w))
+    asks = [where[a:b] for a, b in zip(at, at[1:])]
+    first = _runs(v, u)
+    (pv, pw), pair = _distinct(v, w)
+    v_id, w_id = named[0][pv], named[2][pw]
+    hot = np.minimum(np.searchsorted(model["hot"], v_id), max(len(model["hot"]) - 1, 0))
+    hot = np.where(model["hot"][hot] == v_id, hot + 1, 0) if len(model["hot"]) else np.zeros(len(v_id), np.int64)
+    keys, outer = _distinct(w_id % model["parts"], hot, w_id // model["parts"])
+    block = {"n": _smallest(n), "first": _steps(first), "pair": _smallest(pair), "v": _steps(pv), "hot": hot > 0, "outer": _smallest(outer), "keys": len(keys[0])}
+    return block, asks, np.array(keys)
+
+
+class Restaurants:
+    """The restaurants of a block, ready to compute with."""
 
     def __init__(self, block: dict, model: dict):
-        self.b, self.m = block, model
-        self.n, self.word, self.context = block["n"].astype(np.int64), block["word"].astype(np.int64), block["context"].astype(np.int64)
-        self.words = len(block["hashes"])
-        self.count = np.bincount(self.word, self.n, self.words)
-
-    def rounds(self, totals: list[dict]):
-        """Yield (t, t0) of round 0, 1, ..., one more than there are totals."""
-        m, d1, d0 = self.m, self.m["discount"], self.m["root_discount"]
-        parent = np.maximum(self.count, 0.1) / max(m["n_train"], 1)
-        tables, root_tables = 0.3 * m["customers"], float(m["known"])
-        for r in range(len(totals) + 1):
-            rng = np.random.default_rng([m["seed"], r, int(self.b["hashes"][0]) & 0xFFFFFFFF, self.words])
-            t = seat(rng, self.n, (m["strength"] + d1 * tables[self.context]) * parent[self.word], d1)
-            c0 = np.bincount(self.word, t, self.words).astype(np.int64)
-            t0 = seat(rng, c0, np.full(self.words, (m["root_strength"] + d0 * root_tables) / (m["known"] + 1)), d0)
-            yield t, t0
-            if r < len(totals):
-                tables, root_tables = totals[r]["tables"], totals[r]["root_tables"]
-                parent = self.parent(c0, t0, totals[r])
-
-    def parent(self, c0, t0, total: dict) -> np.ndarray:
-        m = self.m
-        fresh = (m["root_strength"] + m["root_discount"] * total["root_tables"]) / (m["known"] + 1)
-        return (c0 - m["root_discount"] * t0 + fresh) / (m["root_strength"] + total["tables"].sum())
-
-    def predictive(self, totals: list[dict], burn_in: int) -> np.ndarray:
-        """The averaged probability of each (word, context) of the block."""
-        m, out, used = self.m, np.zeros(len(self.n)), 0
-        for r, (t, t0) in zip(range(len(totals)), self.rounds(totals[:-1]), strict=True):
-            if r < burn_in:
-                continue
-            total = totals[r]
-            parent = self.parent(np.bincount(self.word, t, self.words), t0, total)
-            open_ = (m["strength"] + m["discount"] * total["tables"])[self.context] * parent[self.word]
-            out += (self.n - m["discount"] * t + open_) / (m["strength"] + m["customers"])[self.context]
-            used += 1
-        return out / used
+        self.m, self.hot, self.keys = model, block["hot"], block["keys"]
+        self.n, self.pair, self.outer = (block[k].astype(np.int64) for k in ("n", "pair", "outer"))
+        self.v = np.cumsum(block["v"], dtype=np.int64)
+        first = np.cumsum(block["first"], dtype=np.int64)
+        self.context = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(self.n))))
 
+    def first_seating(self) -> dict:
+        t3 = (self.n > 0).astype(np.int64)
+        return {"t3": t3, "t2": (_sums(self.pair, t3, len(self.v)) > 0).astype(np.int64)}
 
-def totals_of(table: DataFrame, model: dict, before: list[dict]) -> dict:
-    """Sums over all blocks of the round after `before`: a number for each restaurant, whatever the input."""
+    def sent(self, seats: dict) -> np.ndarray:
+        """Customers passed on, by key: tables of a word, or customers of a word after a frequent token."""
+        return _sums(self.outer, np.where(self.hot, _sums(self.pair, seats["t3"], len(self.v)), seats["t2"]), self.keys)
 
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                sampler = Sampler(_unsqueeze(data), model)
-                for t, t0 in sampler.rounds(before):
-                    pass
-                sums = np.bincount(sampler.context, t, RESTAURANTS).astype(np.int64)
-                at = np.arange(RESTAURANTS + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(sums, t0.sum()))], ["k", "n"])
+    def parents(self, seats: dict, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each pair, and how much of it a new table has, before its word's probability."""
+        m, c = self.m, _sums(self.pair, seats["t3"], len(self.v))
+        size = int(self.v[-1]) + 1 if len(self.v) else 0
+        fresh = (m["strength"][1] + m["discount"][1] * _sums(self.v, seats["t2"], size))[self.v]
+        p = (c - m["discount"][1] * seats["t2"] + fresh * outer[self.outer]) / (m["strength"][1] + _sums(self.v, c, size))[self.v]
+        return np.where(self.hot, outer[self.outer], p), fresh
 
-    rows = table.select("data").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect()
-    found = np.zeros(RESTAURANTS + 1)
-    for k, n in rows:
-        found[k] = n
-    return {"tables": found[:-1], "root_tables": float(found[-1])}
+    def predictive(self, seats: dict, outer: np.ndarray) -> np.ndarray:
+        m, n = self.m, int(self.context[-1]) + 1
+        p, _ = self.parents(seats, outer)
+        fresh = m["strength"][2] + m["discount"][2] * _sums(self.context, seats["t3"], n)
+        return (self.n - m["discount"][2] * seats["t3"] + fresh[self.context] * p[self.pair]) / (m["strength"][2] + _sums(self.context, self.n, n))[self.context]
 
+    def resample(self, seats: dict, outer: np.ndarray, rng: np.random.Generator) -> dict:
+        m, n = self.m, int(self.context[-1]) + 1
+        p, fresh2 = self.parents(seats, outer)
+        fresh3 = m["strength"][2] + m["discount"][2] * _sums(self.context, seats["t3"], n)
+        t3 = seat(rng, self.n, fresh3[self.context] * p[self.pair], m["discount"][2])
+        c = np.where(self.hot, 0, _sums(self.pair, t3, len(self.v)))
+        return {"t3": t3, "t2": seat(rng, c, fresh2 * outer[self.outer], m["discount"][1])}
 
-def answers(table: DataFrame, model: dict, totals: list[dict], burn_in: int) -> DataFrame:
-    """(chunk, h, c, logs): what each chunk asked for: a word's training count, and its log10 probability in each context."""
 
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                block = _unsqueeze(data)
-                sampler = Sampler(block, model)
-                logs = np.log10(sampler.predictive(totals, burn_in)).astype(np.float32)
-                asks, sizes = block["asks"].astype(np.int64), block["sizes"].astype(np.int64)
-                first = np.searchsorted(sampler.word, np.arange(sampler.words))
-                at = np.repeat(first[asks], sizes) + block["step"]
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                whole = pa.RecordBatch.from_arrays([pa.array(block["chunk"]), pa.array(block["hashes"][asks]), pa.array(sampler.count.astype(np.int64)[asks]), _blobs(logs[at], starts)], ["chunk", "h", "c", "logs"])
-                for i in range(0, whole.num_rows, 50_000):
-                    yield whole.slice(i, 50_000)
+# ---- parts: the restaurant without context, and dishes of frequent tokens
+
+
+def part_of(lists: list[np.ndarray]) -> dict:
+    """lists: for each block the keys (hot, rank) of its dishes. dishes: words by rank, then the words after frequent tokens."""
+    hot, rank = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
+    words = int(rank.max()) + 1
+    (after, word), where = _distinct(hot[hot > 0], rank[hot > 0])
+    index = rank.copy()
+    index[hot > 0] = words + where
+    at = np.cumsum([0, *[x.shape[1] for x in lists]])
+    return {"words": words, "after": _smallest(after - 1 if len(after) else after), "word": _smallest(word), "index": [_smallest(index[a:b]) for a, b in zip(at, at[1:])]}
+
+
+class Dishes:
+    def __init__(self, part: dict, model: dict):
+        self.m, self.words, self.index = model, part["words"], part["index"]
+        self.after, self.word = part["after"].astype(np.int64), part["word"].astype(np.int64)
+
+    def customers(self, counts: list[np.ndarray]) -> np.ndarray:
+        return _sums(np.concatenate(self.index).astype(np.int64), np.concatenate(counts), self.words + len(self.word))
+
+    def seating(self, counts: list[np.ndarray], before: dict | None, totals: dict | None, rng) -> dict:
+        """Tables of the words after frequent tokens, and of words; the first seating has one a dish."""
+        c, m = self.customers(counts), self.m
+        if before is None:
+            t1 = (c[self.words :] > 0).astype(np.int64)
+        else:
+            t1 = seat(rng, c[self.words :], (m["strength"][1] + m["discount"][1] * totals["t"][1:])[self.after] * self.word_p(before, totals)[self.word], m["discount"][1])
+        c0 = c[: self.words] + _sums(self.word, t1, self.words)
+        t0 = (c0 > 0).astype(np.int64) if before is None else seat(rng, c0, np.full(self.words, self.fresh(totals)), m["discount"][0])
+        return {"c0": c0, "t0": t0, "c1": c[self.words :], "t1": t1}
+
+    def fresh(self, totals: dict) -> float:
+        return (self.m["strength"][0] + self.m["discount"][0] * totals["t"][0]) / (self.m["known"] + 1)
+
+    def word_p(self, s: dict, totals: dict) -> np.ndarray:
+        return (s["c0"] - self.m["discount"][0] * s["t0"] + self.fresh(totals)) / (self.m["strength"][0] + totals["c"][0])
+
+    def probabilities(self, s: dict, totals: dict) -> np.ndarray:
+        m, p = self.m, self.word_p(s, totals)
+        fresh = (m["strength"][1] + m["discount"][1] * totals["t"][1:])[self.after]
+        return np.concatenate([p, (s["c1"] - m["discount"][1] * s["t1"] + fresh * p[self.word]) / (m["strength"][1] + totals["c"][1:])[self.after]])
+
+    def totals(self, s: dict) -> list[dict]:
+        out = [{"k": 0, "t": int(s["t0"].sum()), "c": int(s["c0"].sum())}]
+        t, c = (_sums(self.after, s[k], len(self.m["hot"])) for k in ("t1", "c1"))
+        return out + [{"k": int(k) + 1, "t": int(t[k]), "c": int(c[k])} for k in np.flatnonzero(c)]
+
+
+# ---- the exchanges
+
+
+ROWS = "kind string, block long, part long, asks binary, totals array<struct<k: long, t: long, c: long>>, data binary"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("k", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])), pa.binary()]
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in _KINDS]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], [x.split()[0] for x in "kind, block, part, asks, totals, data".split(", ")])
+
 
-    return table.select("data").mapInArrow(run, "chunk long, h long, c long, logs binary")
+def _of(table: pa.Table, kind: str, key: str) -> list[tuple[int, object]]:
+    """(key, data) of the rows of a kind, by key."""
+    found = [(k, d) for x, k, d in zip(table.column("kind").to_pylist(), table.column(key).to_pylist(), table.column("data").to_pylist(), strict=True) if x == kind]
+    return [(k, _unsqueeze(d)) for k, d in sorted(found, key=lambda x: x[0])]
+
+
+def _seed(model: dict, *more: int):
+    return np.random.default_rng([model["seed"], *more])
+
+
+def _outer_rows(block: int, parts: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    """Rows of the counts of a block's keys, for each part that holds some."""
+    names, first = np.unique(parts, return_index=True)
+    return [("outer", block, int(p), None, None, _squeeze((_smallest(counts[a:b]), *[_smallest(x[..., a:b]) for x in more]))) for p, a, b in zip(names, first, [*first[1:], len(parts)], strict=True)]
+
+
+def build_blocks(sent: DataFrame, model: dict) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        b = group.column("block")[0].as_py()
+        found = sorted(zip(group.column("chunk").to_pylist(), group.column("data").to_pylist(), strict=True))
+        block, asks, keys = block_of([_unsqueeze(x) for _, x in found], model)
+        r = Restaurants(block, model)
+        seats = r.first_seating()
+        block["parts"] = _smallest(keys[0])
+        packed = _squeeze([(key, _steps(x)) for (key, _), x in zip(found, asks, strict=True)])
+        rows = [("static", b, None, packed, None, _squeeze(block)), ("seats", b, None, None, None, _squeeze({k: _smallest(x) for k, x in seats.items()}))]
+        return _rows(rows + _outer_rows(b, keys[0], r.sent(seats), keys[1:]))
+
+    return sent.groupBy("block").applyInArrow(run, ROWS)
+
+
+def build_parts(outer: DataFrame, model: dict) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        p, found = group.column("part")[0].as_py(), _of(group, "outer", "block")
+        part = part_of([x[1].astype(np.int64) for _, x in found])
+        part["blocks"] = [b for b, _ in found]
+        dishes = Dishes(part, model)
+        s = dishes.seating([x[0] for _, x in found], None, None, None)
+        return _rows([("part", None, p, None, None, _squeeze(part)), ("dishes", None, p, None, dishes.totals(s), _squeeze({k: _smallest(x) for k, x in s.items()}))])
+
+    return outer.groupBy("part").applyInArrow(run, ROWS)
+
+
+def reseat_parts(static: DataFrame, outer: DataFrame, dishes: DataFrame, model: dict, totals: dict, turn: int) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (p, part), = _of(left, "part", "part")
+        (_, before), = _of(right, "dishes", "part")
+        d = Dishes(part, model)
+        before = {k: x.astype(np.int64) for k, x in before.items()}
+        s = d.seating([x[0] for _, x in _of(right, "outer", "block")], before, totals, _seed(model, 0, turn, p))
+        return _rows([("dishes", None, p, None, d.totals(s), _squeeze({k: _smallest(x) for k, x in s.items()}))])
+
+    return static.groupBy("part").cogroup(outer.unionByName(dishes).groupBy("part")).applyInArrow(run, ROWS)
+
+
+def replies(static: DataFrame, dishes: DataFrame, model: dict, totals: dict, turn: int) -> DataFrame:
+    """Rows of kind p<turn>: the probabilities of each block's keys."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (p, part), = _of(left, "part", "part")
+        (_, s), = _of(right, "dishes", "part")
+        d = Dishes(part, model)
+        all_ = d.probabilities({k: x.astype(np.int64) for k, x in s.items()}, totals).astype(np.float32)
+        return _rows([(f"p{turn}", b, p, None, None, _squeeze(all_[at])) for b, at in zip(part["blocks"], d.index, strict=True)])
+
+    return static.groupBy("part").cogroup(dishes.groupBy("part")).applyInArrow(run, ROWS)
+
+
+def _outer(right: pa.Table, turn: int) -> np.ndarray:
+    return np.concatenate([x for _, x in _of(right, f"p{turn}", "part")]).astype(np.float64)
+
+
+def reseat_blocks(static: DataFrame, seats: DataFrame, probabilities: DataFrame, model: dict, turn: int) -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (b, block), = _of(left, "static", "block")
+        (_, before), = _of(right, "seats", "block")
+        r = Restaurants(block, model)
+        new = r.resample({k: x.astype(np.int64) for k, x in before.items()}, _outer(right, turn), _seed(model, 1, turn, b))
+        return _rows([("seats", b, None, None, None, _squeeze({k: _smallest(x) for k, x in new.items()})), *_outer_rows(b, block["parts"], r.sent(new))])
+
+    return static.drop("asks").groupBy("block").cogroup(seats.unionByName(probabilities).groupBy("block")).applyInArrow(run, ROWS)
+
+
+def answers(static: DataFrame, samples: DataFrame, model: dict, turns: list[int]) -> DataFrame:
+    """(chunk, key, kind, data): for each block and chunk, the log10 of the mean probability of each triple that the chunk sent."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (b, block), = _of(left, "static", "block")
+        r, p = Restaurants(block, model), 0.0
+        for turn in turns:
+            (_, seats), = _of(right, f"seats{turn}", "block")
+            p = p + r.predictive({k: x.astype(np.int64) for k, x in seats.items()}, _outer(right, turn))
+        logs = np.log10(p / len(turns)).astype(np.float32)
+        rows = [(key, b, "logs", _squeeze(logs[np.cumsum(at, dtype=np.int64)])) for key, at in _unsqueeze(left.column("asks")[0].as_py())]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "key", "kind", "data"])
+
+    return static.groupBy("block").cogroup(samples.groupBy("block")).applyInArrow(run, "chunk long, key long, kind string, data binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(table: DataFrame, replies: DataFrame, model: dict, own: np.ndarray) -> DataFrame:
+def scores(table: DataFrame, found: DataFrame, model: dict) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        right = right.combine_chunks()
-        h = right.column("h").to_numpy()
-        order = np.argsort(h)
-        logs = np.concatenate([_flat(x, np.float32) for x in right.column("logs").chunks])
-        sizes = pc.binary_length(right.column("logs")).to_numpy().astype(np.int64) // 4
-        starts, c = np.concatenate([[0], np.cumsum(sizes)])[:-1], right.column("c").to_numpy()
         for data in left.column("data").to_pylist():
             chunk = _unsqueeze(data)
-            codes, where = _pairs(chunk, own)
-            row = order[np.searchsorted(h[order], chunk["hashes"])]
-            word = codes // RESTAURANTS
-            first = np.searchsorted(codes, np.arange(len(chunk["hashes"])) * RESTAURANTS)
-            log = logs[starts[row][word] + np.arange(len(codes)) - first[word]].astype(np.float64)
-            known = c[row]
-            base = np.log10((known + 0.1) / (model["n_train"] + 0.1 * (model["known"] + 1)))
-            at = np.concatenate([[0], np.cumsum(chunk["lengths"])])[:-1]
-            tokens = chunk["tokens"]
-            n = len(at)
-            out.append(pa.table([pa.array(chunk["doc_ids"], pa.int64()), pa.array(chunk["held"]), pa.array(chunk["lengths"].astype(np.int64)), pa.array(np.add.reduceat((known > 0)[tokens].astype(np.int64), at)), pa.array(np.full(n, model["n_train"])), pa.array(np.add.reduceat(base[tokens], at)), pa.array(np.add.reduceat(log[where], at))], [x.split()[0] for x in SCORES.split(", ")]))
+            kind = pc.equal(right.column("kind"), "words")
+            ids, c = _named(chunk, right.filter(kind), model["parts"])
+            logs = right.filter(pc.invert(kind))
+            logs = [_unsqueeze(x) for _, x in sorted(zip(logs.column("key").to_pylist(), logs.column("data").to_pylist(), strict=True))]
+            log = np.concatenate(logs).astype(np.float64)[triples(chunk, ids, model)["where"]]
+            base = np.log10((c + 0.1) / (model["n_train"] + 0.1 * (model["known"] + 1)))[chunk["tokens"]]
+            at, n = np.cumsum(chunk["lengths"]) - chunk["lengths"], len(chunk["lengths"])
+            known = np.add.reduceat((c > 0)[chunk["tokens"]].astype(np.int64), at)
+            out.append(pa.table([pa.array(chunk["doc_ids"], pa.int64()), pa.array(chunk["held"]), pa.array(chunk["lengths"].astype(np.int64)), pa.array(known), pa.array(np.full(n, model["n_train"])), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(log, at))], [x.split()[0] for x in SCORES.split(", ")]))
         return pa.concat_tables(out)
 
-    return table.select("chunk", "data").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, SCORES)
-
-
-def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1, seed: int = 11, discount: float = 0.7, strength: float = 20.0, root_discount: float = 0.7, root_strength: float = 100.0, block_tokens: int = 3_000_000) -> DataFrame:
-    """Train on the rows that held_out does not mark, and score all rows. Perplexity of rows: 10 ** (-sum(score) / sum(n_tokens))."""
-    table = stored(chunks(docs, held_out))
-    n_train = int(table.agg(F.sum("n_train")).first()[0] or 0)
-    top = table.select(F.explode("top").alias("w")).groupBy("w.h").agg(F.sum("w.n").alias("n")).orderBy(F.desc("n"), "h").limit(OWN)
-    own = np.array(sorted(r["h"] for r in top.collect()), np.int64)
-    n = max(1, -(-n_train // block_tokens), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = stored(blocks(counts(table, own), n))
-    model = {"n_train": n_train, "known": int(held.agg(F.sum("known")).first()[0] or 0), "customers": np.zeros(RESTAURANTS), "seed": seed, "discount": discount, "strength": strength, "root_discount": root_discount, "root_strength": root_strength}
-
-    def customers(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                block = _unsqueeze(data)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(RESTAURANTS)), pa.array(np.bincount(block["context"], block["n"], RESTAURANTS).astype(np.int64))], ["k", "n"])
-
-    for k, c in held.select("data").mapInArrow(customers, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
-        model["customers"][k] = c
-    totals: list[dict] = []
-    for _ in range(rounds):
-        totals.append(totals_of(held, model, totals))
-    return scores(table, answers(held, model, totals, burn_in), model, own)
+    return table.select("chunk", "data").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, SCORES)
+
+
+def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1, seed: int = 11, order: int = 3, discount: tuple = (0.7, 0.75, 0.75), strength: tuple = (10.0, 1.0, 0.5), block_tokens: int = 3_000_000) -> DataFrame:
+    """Train on the rows that held_out does not mark, and score all rows. Perplexity of rows: 10 ** (-sum(score) / sum(n_tokens)).
+
+    discount and strength: of the restaurant without context, of those of one token and of two; order 2 leaves out the last.
+    rounds after the first burn_in are averaged. block_tokens: tokens a block and a part of the work; it should fit a task's memory."""
+    spark = docs.sparkSession
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = bucketed(chunks(docs, held_out), "chunk", few)
+    sums = table.agg(F.sum("n_train").alias("n"), F.sum("n_tokens").alias("all")).first()
+    blocks = max(1, -(-(sums["all"] or 0) // block_tokens), few)
+    model = {"n_train": sums["n"] or 0, "blocks": blocks, "parts": blocks, "seed": seed, "order": order, "discount": discount, "strength": strength}
+    words = stored(vocabulary(table, model["parts"], block_tokens // 8))
+    model["known"] = int(words.agg(F.sum("known")).first()[0] or 0)
+    model["hot"] = np.sort(np.array([r["id"] for r in words.select(F.explode("often").alias("w")).select("w.id").collect()], np.int64))  # at most 8 a block
+    words = words.where("chunk IS NOT NULL").select("chunk", F.col("part").alias("key"), F.lit("words").alias("kind"), "data")
+    release(spark)
+
+    built = stored(build_blocks(requests(table, words, model), model), "kind")
+    release(spark)
+    static = bucketed(built.where("kind = 'static'"), "block", few)
+    seats, outer = built.where("kind = 'seats'"), built.where("kind = 'outer'")
+    parts = stored(build_parts(outer, model), "kind")
+    shelf, dishes = parts.where("kind = 'part'").drop("totals"), parts.where("kind = 'dishes'")
+
+    def totals_of(dishes: DataFrame) -> dict:
+        found = {k: np.zeros(len(model["hot"]) + 1) for k in "tc"}
+        for r in dishes.select(F.explode("totals").alias("x")).groupBy("x.k").agg(F.sum("x.t").alias("t"), F.sum("x.c").alias("c")).collect():  # a row a frequent token
+            found["t"][r["k"]], found["c"][r["k"]] = r["t"], r["c"]
+        return found
+
+    samples, turns = None, []
+    blank = F.lit(None).cast("array<struct<k: long, t: long, c: long>>")
+    shelf, seats, outer = (x.withColumn("totals", blank).select(*dishes.columns) for x in (shelf, seats, outer))
+    static = static.withColumn("totals", blank).select(*dishes.columns)
+    for turn in range(rounds + 1):
+        totals = totals_of(dishes)
+        p = stored(replies(shelf, dishes.withColumn("totals", blank), model, totals, turn))
+        if turn > burn_in or turn == rounds:
+            both = p.unionByName(seats.withColumn("kind", F.lit(f"seats{turn}")))
+            samples, turns = both if samples is None else samples.unionByName(both), [*turns, turn]
+        if turn < rounds:
+            moved = stored(reseat_blocks(static, seats, p, model, turn), "kind")
+            seats, outer = (moved.where(F.col("kind") == k).select(*dishes.columns) for k in ("seats", "outer"))
+            dishes = stored(reseat_parts(shelf, outer, dishes.withColumn("totals", blank), model, totals, turn))
+    release(spark)
+    found = answers(static, samples, model, turns)
+    return scores(table, words.unionByName(found.select(*words.columns)), model)
 
 
 def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(documents(spark, sf_dir).select("doc_id", "text"), ~training_row(10))
-
-
-OP2_BASE_SQL = r"""
-WITH docs AS (SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') AS w FROM documents)
-SELECT doc_id, len(list_filter(w, x -> x <> '')) + 1 AS n_tokens FROM docs
-"""
