@@ -35,7 +35,16 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() made and nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -77,8 +86,9 @@ def training_row(mod: int):
 
 
 def large_strings(column: pa.Array) -> pa.Array:
-    """The column as 64-bit-offset strings, null as empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The column as 64-bit-offset strings, null as empty, in memory of its own: pyarrow's string kernels misread a cast slice,
+    whose first offset is not 0."""
+    return pc.fill_null(pa.concat_arrays([column.cast(pa.large_string()), pa.array([], pa.large_string())]), "")
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -37,17 +37,30 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, documents, large_strings, release, slices, split_words, stored, training_row
+from .common import bucketed, discard, documents, large_strings, release, slices, split_words, stored, training_row
 
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 
 
+def _planes(x, back: bool):
+    """Arrays as all their first bytes, all their second ones and so on, which compress better than numbers; and back."""
+    if isinstance(x, dict):
+        return {k: _planes(v, back) for k, v in x.items()}
+    if back and isinstance(x, tuple) and x and x[0] == "planes":
+        return np.ascontiguousarray(x[2].T).reshape(-1).view(x[1])
+    if isinstance(x, (list, tuple)):
+        return type(x)(_planes(v, back) for v in x)
+    if not back and isinstance(x, np.ndarray) and x.ndim == 1 and x.itemsize > 1:
+        return "planes", x.dtype.str, np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+    return x
+
+
 def _squeeze(x) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(_planes(x, False), protocol=5))
 
 
 def _unsqueeze(x: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+    return _planes(pickle.loads(zstandard.ZstdDecompressor().decompress(x)), True)
 
 
 def _smallest(x: np.ndarray) -> np.ndarray:
@@ -95,20 +108,19 @@ def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 20) -> DataFrame:
     """(chunk, n_train, n_tokens, data): data has the tokens of whole documents as codes of the chunk's own list of words."""
 
     def made(part: int, n: int, held: list) -> tuple:
-        doc_ids, flags, texts = [], [], []
-        for batch in held:
-            doc_ids += batch.column(0).to_pylist()
-            flags += batch.column(2).to_pylist()
-            texts.append(batch.column(1))
-        words, lengths = split_words(pa.chunked_array(texts).combine_chunks() if len(texts) > 1 else texts[0])
-        coded = pc.dictionary_encode(words)
-        spelt = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        hashes = np.array([*[xxhash.xxh64_intdigest(w) - (1 << 63) for w in spelt], END], np.int64)
+        doc_ids, flags = (sum((x[i] for x in held), []) for i in (0, 1))
+        lengths = np.concatenate([x[3] for x in held])
+        coded = pa.chunked_array([x[2] for x in held]).dictionary_encode().combine_chunks()
+        spelt, codes = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        often = np.argsort(-np.bincount(codes, minlength=len(spelt)), kind="stable")  # small codes for frequent words take less room
+        code_of = np.empty(len(spelt), np.int64)
+        code_of[often] = np.arange(len(spelt))
+        hashes = np.array([*[xxhash.xxh64_intdigest(spelt[i]) - (1 << 63) for i in often.tolist()], END], np.int64)
         # The end token has the last code; it stands after each document's words.
-        tokens = np.full(len(words) + len(lengths), len(spelt), np.uint32)
+        tokens = np.full(len(codes) + len(lengths), len(spelt), np.uint32)
         inner = np.ones(len(tokens), bool)
         inner[np.cumsum(lengths + 1) - 1] = False
-        tokens[inner] = coded.indices.to_numpy(zero_copy_only=False)
+        tokens[inner] = code_of[codes]
         held_ = np.array(flags, bool)
         data = _squeeze({"doc_ids": doc_ids, "held": held_, "lengths": lengths + 1, "tokens": _smallest(tokens), "hashes": hashes})
         return part << 32 | n, int((lengths + 1)[~held_].sum()), len(tokens), data
@@ -125,7 +137,7 @@ def chunks(docs: DataFrame, held_out, chunk_tokens: int = 1 << 20) -> DataFrame:
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
                 texts = large_strings(batch.column(1))
-                held.append(pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["doc_id", "text", "held"]))
+                held.append((batch.column(0).to_pylist(), batch.column(2).to_pylist(), *split_words(texts)))
                 size += texts.nbytes
                 if size >= chunk_tokens * 6:  # about so many bytes a token
                     yield row(made(part, n, held))
@@ -166,7 +178,8 @@ def vocabulary(table: DataFrame, parts: int, hot: int) -> DataFrame:
         lists = [_unsqueeze(x) for x in group.column("data").to_pylist()]
         words, where = np.unique(np.concatenate([h for h, _ in lists]), return_inverse=True)
         c = _sums(where, np.concatenate([n for _, n in lists]), len(words))
-        ids, at = np.arange(len(words)) * parts + part, np.cumsum([0, *[len(h) for h, _ in lists]])
+        ids, at = np.empty(len(words), np.int64), np.cumsum([0, *[len(h) for h, _ in lists]])
+        ids[np.argsort(-c, kind="stable")] = np.arange(len(words)) * parts + part  # small ids for frequent words
         often = [{"id": int(ids[i]), "n": int(c[i])} for i in np.flatnonzero(c > hot)]
         rows = [(part, None, int((c > 0).sum()), often, None)]
         rows += [(part, k, 0, [], _squeeze((_smallest(ids[where[a:b]]), _smallest(c[where[a:b]])))) for k, a, b in zip(keys, at, at[1:])]
@@ -436,13 +449,17 @@ class Dishes:
 # ---- the exchanges
 
 
-ROWS = "kind string, block long, part long, asks binary, totals array<struct<k: long, t: long, c: long>>, data binary"
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("k", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])), pa.binary()]
+_TYPES = {"kind": "string", "block": "long", "part": "long", "chunk": "long", "key": "long", "data": "binary", "static": "binary", "asks": "binary", "totals": "array<struct<k: long, t: long, c: long>>"}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), _TYPES["totals"]: pa.list_(pa.struct([("k", pa.int64()), ("t", pa.int64()), ("c", pa.int64())]))}
+MOVED, BUILT, SEATED = "kind block part data".split(), "kind block part data static asks".split(), "kind block part data totals".split()
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{x} {_TYPES[x]}" for x in names)
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in _KINDS]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], [x.split()[0] for x in "kind, block, part, asks, totals, data".split(", ")])
+def _rows(names: list[str], rows: list[dict]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r.get(x) for r in rows], _ARROW[_TYPES[x]]) for x in names], names)
 
 
 def _of(table: pa.Table, kind: str, key: str) -> list[tuple[int, object]]:
@@ -458,10 +475,23 @@ def _seed(model: dict, *more: int):
 def _outer_rows(block: int, parts: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> list[tuple]:
     """Rows of the counts of a block's keys, for each part that holds some."""
     names, first = np.unique(parts, return_index=True)
-    return [("outer", block, int(p), None, None, _squeeze((_smallest(counts[a:b]), *[_smallest(x[..., a:b]) for x in more]))) for p, a, b in zip(names, first, [*first[1:], len(parts)], strict=True)]
+    ends = zip(names, first, [*first[1:], len(parts)], strict=True)
+    return [{"kind": "outer", "block": block, "part": int(p), "data": _squeeze((_smallest(counts[a:b]), *[_smallest(x[a:b]) for x in more]))} for p, a, b in ends]
+
+
+def _seats_row(kind: str, name: str, at: int, seats: dict, **more) -> dict:
+    return {"kind": kind, name: at, "data": _squeeze({k: _smallest(x) for k, x in seats.items()}), **more}
+
+
+def _seats(table: pa.Table, kind: str, key: str) -> dict:
+    ((_, found),) = _of(table, kind, key)
+    return {k: x.astype(np.int64) for k, x in found.items()}
 
 
 def build_blocks(sent: DataFrame, model: dict) -> DataFrame:
+    """A row of each block with its restaurants (static) and what chunks asked for (asks), its first seating, and rows of kind outer: the
+    first customers of each part, with their keys."""
+
     def run(group: pa.Table) -> pa.Table:
         b = group.column("block")[0].as_py()
         found = sorted(zip(group.column("chunk").to_pylist(), group.column("data").to_pylist(), strict=True))
@@ -470,47 +500,46 @@ def build_blocks(sent: DataFrame, model: dict) -> DataFrame:
         seats = r.first_seating()
         block["parts"] = _smallest(keys[0])
         packed = _squeeze([(key, _steps(x)) for (key, _), x in zip(found, asks, strict=True)])
-        rows = [("static", b, None, packed, None, _squeeze(block)), ("seats", b, None, None, None, _squeeze({k: _smallest(x) for k, x in seats.items()}))]
-        return _rows(rows + _outer_rows(b, keys[0], r.sent(seats), keys[1:]))
+        rows = [{"kind": "static", "block": b, "static": _squeeze(block), "asks": packed}, _seats_row("seats", "block", b, seats)]
+        return _rows(BUILT, rows + _outer_rows(b, keys[0], r.sent(seats), *keys[1:]))
 
-    return sent.groupBy("block").applyInArrow(run, ROWS)
+    return sent.groupBy("block").applyInArrow(run, _schema(BUILT))
 
 
 def build_parts(outer: DataFrame, model: dict) -> DataFrame:
+    """Two rows of each part: its dishes (kind part) and their first seating (kind dishes)."""
+
     def run(group: pa.Table) -> pa.Table:
         p, found = group.column("part")[0].as_py(), _of(group, "outer", "block")
-        part = part_of([x[1].astype(np.int64) for _, x in found])
+        part = part_of([np.array(x[1:], np.int64) for _, x in found])
         part["blocks"] = [b for b, _ in found]
         dishes = Dishes(part, model)
         s = dishes.seating([x[0] for _, x in found], None, None, None)
-        return _rows([("part", None, p, None, None, _squeeze(part)), ("dishes", None, p, None, dishes.totals(s), _squeeze({k: _smallest(x) for k, x in s.items()}))])
+        return _rows(SEATED, [{"kind": "part", "part": p, "data": _squeeze(part)}, _seats_row("dishes", "part", p, s, totals=dishes.totals(s))])
 
-    return outer.groupBy("part").applyInArrow(run, ROWS)
+    return outer.groupBy("part").applyInArrow(run, _schema(SEATED))
 
 
 def reseat_parts(static: DataFrame, outer: DataFrame, dishes: DataFrame, model: dict, totals: dict, turn: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (p, part), = _of(left, "part", "part")
-        (_, before), = _of(right, "dishes", "part")
+        ((p, part),) = _of(left, "part", "part")
         d = Dishes(part, model)
-        before = {k: x.astype(np.int64) for k, x in before.items()}
-        s = d.seating([x[0] for _, x in _of(right, "outer", "block")], before, totals, _seed(model, 0, turn, p))
-        return _rows([("dishes", None, p, None, d.totals(s), _squeeze({k: _smallest(x) for k, x in s.items()}))])
+        s = d.seating([x[0] for _, x in _of(right, "outer", "block")], _seats(right, "dishes", "part"), totals, _seed(model, 0, turn, p))
+        return _rows(SEATED, [_seats_row("dishes", "part", p, s, totals=d.totals(s))])
 
-    return static.groupBy("part").cogroup(outer.unionByName(dishes).groupBy("part")).applyInArrow(run, ROWS)
+    return static.groupBy("part").cogroup(outer.unionByName(dishes).groupBy("part")).applyInArrow(run, _schema(SEATED))
 
 
 def replies(static: DataFrame, dishes: DataFrame, model: dict, totals: dict, turn: int) -> DataFrame:
     """Rows of kind p<turn>: the probabilities of each block's keys."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (p, part), = _of(left, "part", "part")
-        (_, s), = _of(right, "dishes", "part")
+        ((p, part),) = _of(left, "part", "part")
         d = Dishes(part, model)
-        all_ = d.probabilities({k: x.astype(np.int64) for k, x in s.items()}, totals).astype(np.float32)
-        return _rows([(f"p{turn}", b, p, None, None, _squeeze(all_[at])) for b, at in zip(part["blocks"], d.index, strict=True)])
+        found = d.probabilities(_seats(right, "dishes", "part"), totals).astype(np.float32)
+        return _rows(MOVED, [{"kind": f"p{turn}", "block": b, "part": p, "data": _squeeze(found[at])} for b, at in zip(part["blocks"], d.index, strict=True)])
 
-    return static.groupBy("part").cogroup(dishes.groupBy("part")).applyInArrow(run, ROWS)
+    return static.groupBy("part").cogroup(dishes.groupBy("part")).applyInArrow(run, _schema(MOVED))
 
 
 def _outer(right: pa.Table, turn: int) -> np.ndarray:
@@ -519,30 +548,28 @@ def _outer(right: pa.Table, turn: int) -> np.ndarray:
 
 def reseat_blocks(static: DataFrame, seats: DataFrame, probabilities: DataFrame, model: dict, turn: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (b, block), = _of(left, "static", "block")
-        (_, before), = _of(right, "seats", "block")
+        b, block = left.column("block")[0].as_py(), _unsqueeze(left.column("static")[0].as_py())
         r = Restaurants(block, model)
-        new = r.resample({k: x.astype(np.int64) for k, x in before.items()}, _outer(right, turn), _seed(model, 1, turn, b))
-        return _rows([("seats", b, None, None, None, _squeeze({k: _smallest(x) for k, x in new.items()})), *_outer_rows(b, block["parts"], r.sent(new))])
+        new = r.resample(_seats(right, "seats", "block"), _outer(right, turn), _seed(model, 1, turn, b))
+        return _rows(MOVED, [_seats_row("seats", "block", b, new), *_outer_rows(b, block["parts"], r.sent(new))])
 
-    return static.drop("asks").groupBy("block").cogroup(seats.unionByName(probabilities).groupBy("block")).applyInArrow(run, ROWS)
+    return static.select("block", "static").groupBy("block").cogroup(seats.unionByName(probabilities).groupBy("block")).applyInArrow(run, _schema(MOVED))
 
 
 def answers(static: DataFrame, samples: DataFrame, model: dict, turns: list[int]) -> DataFrame:
     """(chunk, key, kind, data): for each block and chunk, the log10 of the mean probability of each triple that the chunk sent."""
+    names = "chunk key kind data".split()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (b, block), = _of(left, "static", "block")
+        b, block = left.column("block")[0].as_py(), _unsqueeze(left.column("static")[0].as_py())
         r, p = Restaurants(block, model), 0.0
         for turn in turns:
-            (_, seats), = _of(right, f"seats{turn}", "block")
-            p = p + r.predictive({k: x.astype(np.int64) for k, x in seats.items()}, _outer(right, turn))
+            p = p + r.predictive(_seats(right, f"seats{turn}", "block"), _outer(right, turn))
         logs = np.log10(p / len(turns)).astype(np.float32)
-        rows = [(key, b, "logs", _squeeze(logs[np.cumsum(at, dtype=np.int64)])) for key, at in _unsqueeze(left.column("asks")[0].as_py())]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "key", "kind", "data"])
+        asks = _unsqueeze(left.column("asks")[0].as_py())
+        return _rows(names, [{"chunk": key, "key": b, "kind": "logs", "data": _squeeze(logs[np.cumsum(at, dtype=np.int64)])} for key, at in asks])
 
-    return static.groupBy("block").cogroup(samples.groupBy("block")).applyInArrow(run, "chunk long, key long, kind string, data binary")
+    return static.select("block", "static", "asks").groupBy("block").cogroup(samples.groupBy("block")).applyInArrow(run, _schema(names))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -567,7 +594,7 @@ def scores(table: DataFrame, found: DataFrame, model: dict) -> DataFrame:
     return table.select("chunk", "data").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, SCORES)
 
 
-def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1, seed: int = 11, order: int = 3, discount: tuple = (0.7, 0.75, 0.75), strength: tuple = (10.0, 1.0, 0.5), block_tokens: int = 3_000_000) -> DataFrame:
+def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1, seed: int = 11, order: int = 3, discount: tuple = (0.7, 0.75, 0.75), strength: tuple = (10.0, 1.0, 0.5), block_tokens: int = 1_500_000) -> DataFrame:
     """Train on the rows that held_out does not mark, and score all rows. Perplexity of rows: 10 ** (-sum(score) / sum(n_tokens)).
 
     discount and strength: of the restaurant without context, of those of one token and of two; order 2 leaves out the last.
@@ -584,12 +611,12 @@ def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1
     words = words.where("chunk IS NOT NULL").select("chunk", F.col("part").alias("key"), F.lit("words").alias("kind"), "data")
     release(spark)
 
-    built = stored(build_blocks(requests(table, words, model), model), "kind")
-    release(spark)
-    static = bucketed(built.where("kind = 'static'"), "block", few)
-    seats, outer = built.where("kind = 'seats'"), built.where("kind = 'outer'")
+    built = bucketed(build_blocks(requests(table, words, model), model), "block", few)
+    static, seats, outer = (built.where(F.col("kind") == k) for k in ("static", "seats", "outer"))
+    seats, outer = seats.select(*MOVED), outer.select(*MOVED)
     parts = stored(build_parts(outer, model), "kind")
-    shelf, dishes = parts.where("kind = 'part'").drop("totals"), parts.where("kind = 'dishes'")
+    release(spark)
+    shelf, dishes = parts.where("kind = 'part'").select(*MOVED), parts.where("kind = 'dishes'")
 
     def totals_of(dishes: DataFrame) -> dict:
         found = {k: np.zeros(len(model["hot"]) + 1) for k in "tc"}
@@ -597,21 +624,22 @@ def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1
             found["t"][r["k"]], found["c"][r["k"]] = r["t"], r["c"]
         return found
 
-    samples, turns = None, []
-    blank = F.lit(None).cast("array<struct<k: long, t: long, c: long>>")
-    shelf, seats, outer = (x.withColumn("totals", blank).select(*dishes.columns) for x in (shelf, seats, outer))
-    static = static.withColumn("totals", blank).select(*dishes.columns)
+    samples, turns, spent = None, [], []
     for turn in range(rounds + 1):
         totals = totals_of(dishes)
-        p = stored(replies(shelf, dishes.withColumn("totals", blank), model, totals, turn))
+        p = stored(replies(shelf, dishes.select(*MOVED), model, totals, turn))
         if turn > burn_in or turn == rounds:
             both = p.unionByName(seats.withColumn("kind", F.lit(f"seats{turn}")))
             samples, turns = both if samples is None else samples.unionByName(both), [*turns, turn]
+        else:
+            spent.append(p)
         if turn < rounds:
             moved = stored(reseat_blocks(static, seats, p, model, turn), "kind")
-            seats, outer = (moved.where(F.col("kind") == k).select(*dishes.columns) for k in ("seats", "outer"))
-            dishes = stored(reseat_parts(shelf, outer, dishes.withColumn("totals", blank), model, totals, turn))
-    release(spark)
+            seats, outer = (moved.where(F.col("kind") == k).select(*MOVED) for k in ("seats", "outer"))
+            before, dishes = dishes, stored(reseat_parts(shelf, outer, dishes.select(*MOVED), model, totals, turn))
+            discard(*spent, *([before] if turn else []))
+            spent = [moved] if turn + 1 <= burn_in and turn + 1 < rounds else []
+            release(spark)
     found = answers(static, samples, model, turns)
     return scores(table, words.unionByName(found.select(*words.columns)), model)
 

@@ -265,6 +265,25 @@ def test_seating_law(discount):
     assert np.allclose(np.exp(stirling(discount)[1:9, 1:9]), s[1:, 1:])
 
 
+def test_words_of_sliced_batches():
+    """Words of a slice are its own, lower-cased or not."""
+    import pyarrow as pa
+
+    from sparvox.llm.common import large_strings, slices, split_words
+
+    rng = np.random.default_rng(9)
+    texts = [None if i % 17 == 0 else " ".join(f"Word{x}" for x in rng.integers(0, 999, int(rng.integers(0, 60)))) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for low in (True, False):
+        words, counts = [], []
+        for part in slices(batch, "text", 5_000):
+            w, n = split_words(large_strings(part.column(0)), low)
+            words += w.to_pylist()
+            counts += n.tolist()
+        assert counts == [len((t or "").split()) for t in texts]
+        assert words == [lower(x) if low else x for t in texts for x in (t or "").split()]
+
+
 def test_hpylm_distinct_rows_of_any_range():
     from sparvox.llm.hpylm import _distinct
 
