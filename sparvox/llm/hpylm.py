@@ -46,7 +46,7 @@ def _planes(x, back: bool):
     """Arrays as all their first bytes, all their second ones and so on, which compress better than numbers; and back."""
     if isinstance(x, dict):
         return {k: _planes(v, back) for k, v in x.items()}
-    if back and isinstance(x, tuple) and x and x[0] == "planes":
+    if back and isinstance(x, tuple) and x and isinstance(x[0], str):
         return np.ascontiguousarray(x[2].T).reshape(-1).view(x[1])
     if isinstance(x, (list, tuple)):
         return type(x)(_planes(v, back) for v in x)
