@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, discard, documents, large_strings, release, slices, split_words, stored, training_row
 
+#: Steps of log10 probabilities on their way from blocks to chunks: a token's is off by 4e-6 at most.
+STEP = 1 << 17
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 
 
@@ -557,7 +559,8 @@ def reseat_blocks(static: DataFrame, seats: DataFrame, probabilities: DataFrame,
 
 
 def answers(static: DataFrame, samples: DataFrame, model: dict, turns: list[int]) -> DataFrame:
-    """(chunk, key, kind, data): for each block and chunk, the log10 of the mean probability of each triple that the chunk sent."""
+    """(chunk, key, kind, data): for each block and chunk, the log10 of the mean probability of each triple that the chunk sent, in
+    whole steps of -1 / STEP."""
     names = "chunk key kind data".split()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -565,7 +568,7 @@ def answers(static: DataFrame, samples: DataFrame, model: dict, turns: list[int]
         r, p = Restaurants(block, model), 0.0
         for turn in turns:
             p = p + r.predictive(_seats(right, f"seats{turn}", "block"), _outer(right, turn))
-        logs = np.log10(p / len(turns)).astype(np.float32)
+        logs = _smallest(np.rint(-STEP * np.log10(p / len(turns))).astype(np.int64))
         asks = _unsqueeze(left.column("asks")[0].as_py())
         return _rows(names, [{"chunk": key, "key": b, "kind": "logs", "data": _squeeze(logs[np.cumsum(at, dtype=np.int64)])} for key, at in asks])
 
@@ -584,7 +587,7 @@ def scores(table: DataFrame, found: DataFrame, model: dict) -> DataFrame:
             ids, c = _named(chunk, right.filter(kind), model["parts"])
             logs = right.filter(pc.invert(kind))
             logs = [_unsqueeze(x) for _, x in sorted(zip(logs.column("key").to_pylist(), logs.column("data").to_pylist(), strict=True))]
-            log = np.concatenate(logs).astype(np.float64)[triples(chunk, ids, model)["where"]]
+            log = np.concatenate(logs)[triples(chunk, ids, model)["where"]] / -STEP
             base = np.log10((c + 0.1) / (model["n_train"] + 0.1 * (model["known"] + 1)))[chunk["tokens"]]
             at, n = np.cumsum(chunk["lengths"]) - chunk["lengths"], len(chunk["lengths"])
             known = np.add.reduceat((c > 0)[chunk["tokens"]].astype(np.int64), at)
