@@ -62,8 +62,10 @@ def _prefix(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver let go of DataFrames that are out of use: Spark deletes a shuffle's files once nothing can read them."""
+    """Have the driver let go of DataFrames that are out of use: Spark deletes a shuffle's files once nothing can read them.
+    The scheduler holds on to a job until the next one, so there is one."""
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 

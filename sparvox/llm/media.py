@@ -1,11 +1,14 @@
 """Media columns: payloads cut by content, stored once per chunk, and rebuilt and verified from ordered chunk lists.
 
 The media form is a WAV file of 8-bit mono samples. A rolling gear hash cuts it; every chunk has a SHA-256 digest. Executors
-write compressed chunks to a store table, each digest once per task; Spark joins on digests pick one stored copy of each digest
-for all documents. Documents keep the media's digest and the ordered list of chunk digests. Reading back takes only stored
-bytes: a medium is assembled from its list, once per distinct medium, whether the list has one chunk or many.
-
-Defined results: a null text is an empty payload of 64 zero bytes; null doc_ids and repeated rows pass through.
+write compressed chunks to a store table, each digest once per task; the store is bucketed by digest, so the joins that pick
+one stored copy of each digest for all documents read it in place. Documents keep the media's digest and the ordered list of
+chunk digests. Reading back takes only stored bytes: every medium is assembled from its list, once per distinct medium. Data
+are moved once, from digests to media. Chunks are compressed with a dictionary that is trained on a bounded sample of texts and
+stored beside them; it changes only how many bytes the store takes.
+
+Defined results: a null text is an empty payload of 64 zero bytes; null doc_ids and repeated rows pass through; an empty table
+gives no rows. A text of any length is cut whole, and one medium is held in memory at a time. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, large_strings, slices, stored
+from .common import bucketed, documents, large_strings, release, slices, stored
 
 #: Chunk sizes of the store, set to texts of 1.5 kB: least bytes, bits of the gear hash (2 kB on average above the least), most bytes.
 SIZES = (512, 11, 16 << 10)
@@ -75,14 +78,22 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.4f};rms={float(np.sqrt((x * x).mean())):.4f};crossings={crossings};peak={int(np.abs(x).max())}"
 
 
-def landed(docs: DataFrame, level: int = 9) -> DataFrame:
-    """A table of two kinds of rows: documents (doc_id, n_bytes, media, chunks: ordered digests) and chunks (digest, segment, data).
-    segment: where it was written, the task and a number; a task writes a digest once."""
+def trained(docs: DataFrame, sample: int = 1000, chars: int = 10_000, size: int = 110 << 10) -> bytes:
+    """A zstandard dictionary from the first `chars` of at most `sample` texts, the same ones on every run; empty if they are too few."""
+    rows = docs.where("length(text) > 0").select(F.substring("text", 1, chars).alias("text"), F.xxhash64("text").alias("at")).orderBy("at").limit(sample).collect()
+    texts = [r["text"].encode() for r in rows]
+    return zstandard.train_dictionary(min(size, sum(map(len, texts)) // 8), texts).as_bytes() if len(texts) >= 100 and sum(map(len, texts)) > 1 << 16 else b""
+
+
+def landed(docs: DataFrame, dictionary: bytes = b"", level: int = 15) -> DataFrame:
+    """A table of two kinds of rows: documents (doc_id, n_bytes, media, chunks: ordered digests) and chunks (segment, data).
+    segment: where it was written, the task and a number; a task writes a digest once. place is a chunk's digest, or deals a document out."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        segment, seen, pack = TaskContext.get().partitionId() << 32, set(), zstandard.ZstdCompressor(level=level)
+        segment, seen = TaskContext.get().partitionId() << 32, set()
+        pack = zstandard.ZstdCompressor(level=level, **_with(dictionary))
         for big in batches:
             for batch in slices(big, "text", 4 << 20):
                 rows = []
@@ -99,14 +110,20 @@ def landed(docs: DataFrame, level: int = 9) -> DataFrame:
                                 seen.clear()
                             seen.add(key)
                             segment += 1
-                            rows.append((None, None, None, None, digest, segment, pack.compress(chunk)))
-                    rows.append((doc_id, len(raw), digests[0] if len(ends) == 1 else hashlib.sha256(media).digest(), digests, None, None, None))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.binary()]
-                names = ["doc_id", "n_bytes", "media", "chunks", "digest", "segment", "data"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows.append((digest, None, None, None, None, segment, pack.compress(chunk)))
+                    segment += 1
+                    rows.append((segment.to_bytes(8, "big"), doc_id, len(raw), digests[0] if len(ends) == 1 else hashlib.sha256(media).digest(), digests, None, None))
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in LANDED.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, LANDED)
+
+
+LANDED = "place binary, doc_id long, n_bytes long, media binary, chunks array<binary>, segment long, data binary"
+
 
-    schema = "doc_id long, n_bytes long, media binary, chunks array<binary>, digest binary, segment long, data binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+def _with(dictionary: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
 READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -126,11 +143,11 @@ def _emit(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def assemble(parts: DataFrame) -> DataFrame:
+def assemble(parts: DataFrame, dictionary: bytes = b"") -> DataFrame:
     """Rebuild media from parts (media, seq, data): rows of a medium meet in one task in the order of seq, and one medium is held at a time."""
 
     def run(batches):
-        unpack, at, held = zstandard.ZstdDecompressor(), None, []
+        unpack, at, held = zstandard.ZstdDecompressor(**_with(dictionary)), None, []
         for batch in batches:
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -149,15 +166,19 @@ def assemble(parts: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, ...): what is read back of each document's medium. The store stays in the shared folder."""
-    land = stored(landed(docs))
+    spark, dictionary = docs.sparkSession, trained(docs)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    beside = spark.createDataFrame([(hashlib.sha256(dictionary).digest(), None, None, None, None, 0, dictionary)], LANDED)
+    land = bucketed(landed(docs, dictionary).unionByName(beside), "place", n)
     refs = land.where("media IS NOT NULL").select("doc_id", "n_bytes", "media", "chunks")
-    store = land.where("digest IS NOT NULL").select("digest", "segment", "data")
+    store = land.where("segment IS NOT NULL").select("place", "segment", "data")
     # Chunks meet their lists by digest. The index of digests picks one stored copy of each; segment <= kept holds for that one alone.
-    index = store.groupBy("digest").agg(F.min("segment").alias("kept"))
-    single = store.join(index, "digest").where("segment <= kept").select("digest", "data")
+    index = store.groupBy("place").agg(F.min("segment").alias("kept"))
+    single = store.join(index.hint("merge"), "place").where("segment <= kept").select("place", "data")
     lists = refs.groupBy("media").agg(F.first("chunks").alias("chunks"))
-    wanted = lists.select("media", F.posexplode("chunks").alias("seq", "digest"))
-    read = stored(assemble(wanted.join(single, "digest")))
+    wanted = lists.select("media", F.posexplode("chunks").alias("seq", "place"))
+    read = stored(assemble(single.join(wanted.hint("merge"), "place"), dictionary))
+    release(spark)
     return refs.select("doc_id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media").drop("media")
 
 
