@@ -1,7 +1,10 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Defined results: size is the number of words, 0 for a null text; a null source is a source of its own, last in order;
-if all sizes are 0, nothing is taken. A null doc_id is seeded like the text ''. Repeated rows are decided alike.
+if all sizes are 0, nothing is taken. The draw of a document is seeded by its doc_id, source and text (nulls as ''), so rows
+that share a doc_id, or have none, are drawn one by one; rows equal in all three are decided alike, and every rerun agrees. An
+empty table gives no rows. Texts of any length are counted whole. Columns other than doc_id, text and source pass through; those
+that the operator adds have names that begin with __.
 """
 
 from __future__ import annotations
@@ -38,10 +41,15 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mo
     return rows.withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def copies_of(rate: Column, doc_id: Column, seed: int) -> Column:
-    """floor(rate) copies and one more with a chance of the fraction, by a hash of the document's id that any SQL engine can compute."""
-    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256), 1, 13)
-    unit = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
+def draw(seed: int) -> Column:
+    """A number from 0 to 1 for each document, by hashes that any SQL engine can compute."""
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), text)
+    return F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def copies_of(rate: Column, unit: Column) -> Column:
+    """floor(rate) copies and one more with a chance of the fraction."""
     return F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)
 
 
@@ -49,11 +57,11 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     """(doc_id, source, size, source_size, target, rate, copies) of every document.
 
     Sizes are summed per task before the one small shuffle; the list of sources joins back, and Spark broadcasts it only while it is small."""
-    sizes = stored(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")))
+    sizes = stored(docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), draw(seed).alias("unit")))
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, most).withColumnRenamed("source", "__source")
     rows = sizes.join(targets, sizes["source"].eqNullSafe(F.col("__source"))).drop("__source")
-    return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), seed).cast("int"))
+    return rows.withColumn("copies", copies_of(F.col("rate"), F.col("unit")).cast("int")).drop("unit")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
@@ -61,9 +69,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     totals = docs.select("source", words_of(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(totals, weights, most)).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     rows = docs.join(targets, docs["source"].eqNullSafe(F.col("__source")))
-    times = F.sequence(F.lit(1), copies_of(F.col("__rate"), F.col("doc_id"), seed).cast("int"))
-    some = rows.where(copies_of(F.col("__rate"), F.col("doc_id"), seed) > 0)
-    return some.withColumn("__copy", F.explode(times)).select(*docs.columns)
+    some = rows.withColumn("__times", copies_of(F.col("__rate"), draw(seed)).cast("int")).where("__times > 0")
+    return some.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +79,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS digest FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY 1),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM totals),
 levels AS (SELECT *, row_number() OVER o AS place,
@@ -81,7 +88,7 @@ levels AS (SELECT *, row_number() OVER o AS place,
 final AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level * w <= cap) * w, cap)) AS target FROM levels),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM final),
 drawn AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
-    CAST('0x' || substr(sha256('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS unit
+    CAST('0x' || substr(sha256('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || coalesce(d.source, '') || ':' || d.digest), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS unit
     FROM sizes d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, rate, copies
 FROM (SELECT *, CAST(floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END AS INT) AS copies FROM drawn)

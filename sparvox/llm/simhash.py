@@ -206,14 +206,14 @@ def prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     return found.dropDuplicates(["text_key"])
 
 
-def near_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(doc_id, text_key, fp, component_id): the components of all pairs of fingerprints within max_bits bits and all pairs of texts whose
+def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) of every document, and (fp, root) of every fingerprint: the components of all pairs of fingerprints within max_bits bits and all pairs of texts whose
     shingles of `words` words have a Jaccard similarity of at least `similarity`, whatever their fingerprints.
 
     The latter come from a prefix-filter join, which misses none. First every text of a prefix shingle is compared with three others of
     it, which joins groups of near copies without their square; then all pairs that are not in one component by then."""
     fps = stored(fingerprints(docs, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = fps.select("fp").distinct()
     close = stored(links(nodes, max_bits).select("a", "b"))
     fp_of = fps.groupBy("text_key").agg(F.min("fp").alias("fp"))
 
@@ -253,9 +253,27 @@ def near_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity
     left = ordered(left.select(F.col("p.text_key").alias("x"), F.col("q.text_key").alias("y")))
     left = stored(left.join(tried.hint("merge"), ["a", "b"], "left_anti"))
     edges = stored(edges.unionByName(kept(left)).distinct())
-    rooted = nodes.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(rooted.join(least.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "text_key", "fp", "component_id")
+    return fps, stored(nodes.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) of every document, by near_classes."""
+    fps, roots = near_classes(docs, **options)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).join(roots.hint("merge"), "fp").groupBy("root").agg(F.min("id").alias("component_id"))
+    return fps.join(roots.join(least.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component of near_classes: that of the smallest doc_id (null last), and of its texts the one of the
+    smallest key. Rows that share a doc_id are told apart by their texts; of rows equal in both, one is kept, whichever."""
+    fps, roots = near_classes(docs, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = fps.groupBy("fp").agg(F.min(place).alias("first")).join(roots.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.text_key").alias("__key"))
+    keys = ["__none", "__id", "__key"]
+    rows = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__key": text_key(F.col("text"))})
+    # Equal rows meet before the shuffle, so that they are no hot key; the join finds the rows where the first step put them.
+    return rows.dropDuplicates(keys).join(keep.hint("merge"), keys, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

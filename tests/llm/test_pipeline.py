@@ -1,9 +1,19 @@
 """Each stage on the edge cases: it keeps the columns of documents and does what its operator says."""
 
-from collections import Counter
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import zstandard
+from tokenizers import Tokenizer
 
 import corpus_pipeline as p
-from sparvox.llm.simhash import near_duplicates
+from sparvox.llm.packing import vocabulary_path
+from sparvox.llm.quality import fit
+from sparvox.llm.simhash import fingerprint
+
+from test_ops import targets
 
 
 def test_stages(spark, edge):
@@ -16,11 +26,112 @@ def test_stages(spark, edge):
             docs = p.stored(out)
 
 
+def brute_near(rows):
+    """The (doc_id, text) that stay: of each component of close fingerprints or similar texts, the smallest doc_id's (null last), by text key."""
+    texts = sorted({t or "" for _, t in rows})
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    fps = [fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & ((1 << 64) - 1)).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = defaultdict(set)
+    for d, t in rows:
+        groups[find(texts.index(t or ""))].add((d is None, d or 0, t or ""))
+    return groups
+
+
+def as_docs(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def test_near_keeps_one_of_each_group(spark, edge):
+    """Equal and null doc_ids and repeated rows: one row of each group stays, and no group is lost."""
+    rows = [(r[0], r[1]) for r in edge[1]]
+    rows += [(1, "aa bb cc dd ee ff"), (5, "aa bb cc dd ee ff"), (5, "other text under the same number"), (None, "xx yy zz"), (None, "xx yy zz"), (9, "qq rr ss tt"), (9, "qq rr ss tt"), (None, "a text of its own without number")]
+    groups = brute_near(rows)
+    kept = [(r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in p.near(spark, as_docs(spark, rows), "").collect()]
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        (stays,) = [k for k in kept if k in members]
+        assert stays[:2] == min(members)[:2]
+
+
+def test_lines_by_brute_force(spark, edge):
+    last = 1 << 63
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for d, t in {(r[0], r[1]) for r in edge[1]}:
+        for x in (t or "").split("\n"):
+            first[key(x)] = min(first.get(key(x), last), last if d is None else d)
+    want = Counter()
+    for d, t, *_ in edge[1]:
+        kept = [x for x in (t or "").split("\n") if len(key(x)) < 10 or first[key(x)] == (last if d is None else d)]
+        want[d, "\n".join(kept)] += 1
+    docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
+    got = p.lines(spark, docs, edge[0]).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got if r["text"] is not None)
+
+
+def test_quality_by_brute_force(spark):
+    """The rows that stay are those whose compressed sizes, worked out one by one, score 0.3 or more."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    good, bad = (zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(x), write_checksum=False, write_content_size=False, write_dict_id=False) for x in (model.good, model.bad))
+    plain = zstandard.ZstdCompressor(level=model.level, write_checksum=False, write_content_size=False)
+    want = Counter()
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        a, b, c = (len(x.compress(raw)) for x in (good, bad, plain))
+        diff = (b - a) / (a + b) if raw else 0.0
+        z = np.dot(model.weights, [1, 10 * diff, diff * np.log1p(len(raw)), 10 * max(0, 0.35 - c / len(raw)) if raw else 0])
+        if 1 / (1 + np.exp(-z)) >= 0.3:
+            want[r["doc_id"], r["text"]] += 1
+    assert 0 < want.total() < docs.count()
+    assert Counter((r["doc_id"], r["text"]) for r in p.quality(spark, docs, d).collect()) == want
+
+
+def test_mixing_by_brute_force(spark, edge):
+    docs = spark.read.parquet(f"{edge[0]}/documents.parquet").select(*p.COLUMNS)
+    rows = [tuple(r) for r in docs.collect()]
+    size = lambda t: len((t or "").encode().split())
+    totals = Counter()
+    for _, t, _, s, _ in rows:
+        totals[s] += size(t)
+    rate = {s: x / totals[s] if totals[s] else 0 for s, x in targets(totals).items()}
+    want = Counter()
+    for r in rows:
+        text = hashlib.sha256((r[1] or "").encode()).hexdigest()
+        unit = int(hashlib.sha256(f"17:{'' if r[0] is None else r[0]}:{r[3] or ''}:{text}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        want[r] += int(rate[r[3]]) + (unit < rate[r[3]] - int(rate[r[3]]))
+    assert Counter(tuple(r) for r in p.mixing(spark, docs, edge[0]).collect()) == +want
+
+
+def test_packing_by_brute_force(spark, edge):
+    plain = Tokenizer.from_file(vocabulary_path())
     docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
-    groups = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, verified_bits=5).collect()}
-    kept = {r["doc_id"] for r in p.near(spark, docs, edge[0]).collect()}
-    assert {d for d in kept if d is not None} == {d for d, c in groups.items() if d is not None and d == c}
+    want = Counter()
+    for d, t, *_ in edge[1]:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for i, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], range(first, len(ids) + 1, 1024))):
+            want[d, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    got = p.packing(spark, docs, edge[0]).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    used = Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 1024 and len(used) <= 1.02 * sum(used.values()) / 1024 + 1
 
 
 def test_near_finds_all_similar_texts(spark):
