@@ -10,7 +10,7 @@ from sparvox.llm.linededup import dedup_lines
 from sparvox.llm.mixing import mix
 from sparvox.llm.packing import pack_documents
 from sparvox.llm.quality import fit, score
-from sparvox.llm.simhash import near_copies
+from sparvox.llm.simhash import one_of_each
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,9 +27,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: fingerprints within 3 bits, or 0.8 of their five-word shingles in common."""
-    found = near_copies(docs).where("doc_id <> component_id").select("doc_id").hint("merge")  # grows with the input: never broadcast
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group: fingerprints within 3 bits, or 0.8 of their five-word shingles in common.
+
+    It is that of the smallest doc_id, null last; texts under one doc_id, or none, are told apart, and repeated rows are one."""
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
