@@ -37,7 +37,7 @@ class CompressionModel:
 
         def score(raw: bytes) -> float:
             z = float(np.dot(self.weights, _inputs(*sizes(raw), len(raw))))
-            return 1 / (1 + float(np.exp(-z)))
+            return 1 / (1 + float(np.exp(min(-z, 700.0))))
 
         return score
 
@@ -56,17 +56,27 @@ def _inputs(good: int, bad: int, plain: int, n: int) -> np.ndarray:
     return np.array([1.0, d * 10, d * np.log1p(n), own * 10])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Logistic regression; the first column is the constant. Weights of the others, in units of their spread, are held down by
+    `ridge`, so that labels which the inputs part without error have finite weights. Newton steps are halved until the loss falls."""
+    spread = np.append(1.0, np.where((s := x[:, 1:].std(axis=0)) > 0, s, 1.0))
+    x, hold = x / spread, ridge * np.append(1e-6, np.ones(x.shape[1] - 1))
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, np.where(y > 0, -z, z)).sum() + 0.5 * (hold * w * w).sum()
+
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), g)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (p - y) + hold * w)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
             break
-    return w
+        w = w - size * step
+    return w / spread
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, chars: int, mod: int = 5) -> list[tuple[bytes, int]]:

@@ -400,6 +400,31 @@ def test_quality_dictionaries_take_whole_samples(spark, monkeypatch):
     assert [b"".join(x) for x in seen] == [b"".join([t for t, y in rows if y == q][::2]) for q in (1, 0)]
 
 
+def test_calibration_of_parted_labels():
+    """Labels that the inputs part without error, or that are nearly all alike, still give finite weights of the right sign."""
+    from sparvox.llm.quality import calibrate
+
+    rng = np.random.default_rng(0)
+    for n_bad in (3, 40, 700):
+        d = np.concatenate([rng.normal(0.05, 0.01, 700), rng.normal(-0.05, 0.01, n_bad)])
+        y = np.repeat([1.0, 0.0], [700, n_bad])
+        x = np.column_stack([np.ones(len(d)), d * 10, d * 7, np.zeros(len(d))])
+        w = calibrate(x, y)
+        assert np.isfinite(w).all() and np.abs(w).max() < 100
+        assert (((x @ w) > 0) == (y == 1)).all()
+
+
+@pytest.mark.parametrize("name", ["check_s", "check_h"])
+def test_quality_accuracy_elsewhere(spark, name):
+    d = f"/root/testdata/{name}"
+    if not os.path.exists(d):
+        pytest.skip("not given")
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(r["score"], truth[r["doc_id"]]) for r in queries.op5_quality(spark, d).where("held_out").collect() if r["doc_id"] in truth]
+    assert np.mean([(s >= 0.3) == y for s, y in got]) > 0.97
+    assert np.mean([s >= 0.3 for s, y in got if y == 1]) > 0.98
+
+
 def test_quality_accuracy(spark):
     d = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
