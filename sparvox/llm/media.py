@@ -80,7 +80,9 @@ def feature(payload: bytes) -> str:
 
 def trained(docs: DataFrame, sample: int = 1000, chars: int = 10_000, size: int = 110 << 10) -> bytes:
     """A zstandard dictionary from the first `chars` of at most `sample` texts, the same ones on every run; empty if they are too few."""
-    rows = docs.where("length(text) > 0").select(F.substring("text", 1, chars).alias("text"), F.xxhash64("text").alias("at")).orderBy("at").limit(sample).collect()
+    share = min(1.0, 4 * sample / max(docs.count(), 1))  # so few rows go to the driver at any size
+    some = docs.where("length(text) > 0").select(F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("at"))
+    rows = some.where(F.shiftrightunsigned("at", 44) < share * (1 << 20)).orderBy("at").limit(sample).collect()
     texts = [r["text"].encode() for r in rows]
     return zstandard.train_dictionary(min(size, sum(map(len, texts)) // 8), texts).as_bytes() if len(texts) >= 100 and sum(map(len, texts)) > 1 << 16 else b""
 
@@ -144,7 +146,8 @@ def _emit(rows: list) -> pa.RecordBatch:
 
 
 def assemble(parts: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """Rebuild media from parts (media, seq, data): rows of a medium meet in one task in the order of seq, and one medium is held at a time."""
+    """Rebuild media from parts (media, n, seq, data): rows of a medium meet in one task in the order of seq, and one medium is held at
+    a time. The only part of a medium is with itself where it is, so it is not moved."""
 
     def run(batches):
         unpack, at, held = zstandard.ZstdDecompressor(**_with(dictionary)), None, []
@@ -161,7 +164,8 @@ def assemble(parts: DataFrame, dictionary: bytes = b"") -> DataFrame:
             yield _emit([_read_back(b"".join(held), at)])
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("media", "seq", "data").repartition(n, "media").sortWithinPartitions("media", "seq").mapInArrow(run, READ)
+    alone, more = (parts.where(x).select("media", "seq", "data") for x in ("n = 1", "n > 1"))
+    return alone.mapInArrow(run, READ).unionByName(more.repartition(n, "media").sortWithinPartitions("media", "seq").mapInArrow(run, READ))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -176,7 +180,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     index = store.groupBy("place").agg(F.min("segment").alias("kept"))
     single = store.join(index.hint("merge"), "place").where("segment <= kept").select("place", "data")
     lists = refs.groupBy("media").agg(F.first("chunks").alias("chunks"))
-    wanted = lists.select("media", F.posexplode("chunks").alias("seq", "place"))
+    wanted = lists.select("media", F.size("chunks").alias("n"), F.posexplode("chunks").alias("seq", "place"))
     read = stored(assemble(single.join(wanted.hint("merge"), "place"), dictionary))
     release(spark)
     return refs.select("doc_id", "n_bytes", "media", F.size("chunks").alias("n_chunks")).join(read, "media").drop("media")
