@@ -172,7 +172,7 @@ def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> np.ndarray:
-    """Hashes of shingles that several of about `sample` texts hold. They only order the shingles of `prefixes`: any list gives the same pairs."""
+    """Hashes of shingles that several of about `sample` texts hold, the most frequent first. They only order the shingles of `prefixes`: any list gives the same pairs."""
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64(F.lit(9), text_key(F.col("text"))), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
 
@@ -182,13 +182,15 @@ def frequent_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: i
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_buffer().to_pybytes(), words))], ["token"])
 
     held = some.select("text").mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(most)
-    return np.array(sorted(r["token"] for r in held.select("token").collect()), np.int64)
+    return np.array([r["token"] for r in held.select("token").collect()], np.int64)
 
 
 def prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     """(text_key, n, tokens) of every distinct text: of its n shingles, in one order for all texts (frequent ones last), so many of the
     first that two texts of at least this Jaccard similarity have one of them in common."""
     frequent = frequent_shingles(docs, words)
+    place = np.argsort(frequent)  # how frequent: the place in the list
+    frequent = frequent[place]
 
     def run(batches):
         for batch in batches:
@@ -199,13 +201,27 @@ def prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
                 last = frequent[at] == grams if len(frequent) else np.zeros(len(grams), bool)
                 n = len(grams)
                 ns.append(n)
-                tokens.append(np.concatenate([grams[~last], grams[last]])[: n - int(np.ceil(similarity * n - 1e-6)) + 1])
+                common = grams[last][np.argsort(-place[at[last]])]
+                tokens.append(np.concatenate([grams[~last], common])[: n - int(np.ceil(similarity * n - 1e-6)) + 1])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ns, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["text_key", "n", "tokens"])
 
     found = docs.select("text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "text_key long, n int, tokens array<long>")
     return found.dropDuplicates(["text_key"])
 
 
+#: Of (doc_id, text_key): the smallest doc_id comes first, null last.
+PLACE = "struct(doc_id IS NULL AS none, doc_id, text_key)"
+KEYS = ["__none", "__id", "__key"]
+
+
+def _keys(none, doc_id, key) -> list:
+    return [none.alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id"), key.alias("__key")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *_keys(F.col("doc_id").isNull(), F.col("doc_id"), text_key(F.col("text"))))
+
+
 def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, fp) of every document, and (fp, root) of every fingerprint: the components of all pairs of fingerprints within max_bits bits and all pairs of texts whose
     shingles of `words` words have a Jaccard similarity of at least `similarity`, whatever their fingerprints.
@@ -216,13 +232,15 @@ def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarit
     nodes = fps.select("fp").distinct()
     close = stored(links(nodes, max_bits).select("a", "b"))
     fp_of = fps.groupBy("text_key").agg(F.min("fp").alias("fp"))
+    first_of = fps.groupBy("text_key").agg(F.expr(f"min({PLACE})").alias("first"))  # one row of each text, so that copies of a text are not moved
 
     def possible(n1, at1, n2, at2):  # at the first shingle in common, the rest bounds how many there can be
         return F.least(n1 - at1, n2 - at2) >= (n1 + n2) * (similarity / (1 + similarity)) - 1e-6
 
     rows = stored(prefixes(docs, similarity, words)).select("text_key", "n", F.posexplode("tokens").alias("at", "token"))
-    here, by_token = F.struct("text_key", "n", "at"), Window.partitionBy("token")
-    others = F.array(F.min(here).over(by_token), F.max(here).over(by_token), F.lag(here).over(by_token.orderBy("n", "text_key")))
+    here, by_token = F.struct("at", "n", "text_key"), Window.partitionBy("token")
+    # The text that has a shingle earliest has few of its own, so it is near to most of a group of near copies.
+    others = F.array(F.min(here).over(by_token), F.lag(here, 1).over(by_token.orderBy("at", "n", "text_key")), F.lag(here).over(by_token.orderBy("n", "text_key")))
     shared = stored(rows.withColumn("others", others).withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"))
 
     def ordered(pairs):
@@ -234,8 +252,9 @@ def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarit
 
     def kept(pairs):
         """Of pairs of text keys, the pairs of fingerprints whose texts are similar; only texts in pairs are compared."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().hint("merge")  # grows with the input: never broadcast
-        texts = docs.select(text_key(F.col("text")).alias("fp"), "text").join(need, "fp").dropDuplicates(["fp"])
+        need = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct().hint("merge")  # grows with the input: never broadcast
+        of = first_of.join(need, "text_key").select(*_keys(F.col("first.none"), F.col("first.doc_id"), F.col("text_key")))
+        texts = _keyed(docs.select("doc_id", "text")).join(of.hint("merge"), KEYS, "left_semi").select(F.col("__key").alias("fp"), "text").dropDuplicates(["fp"])
         sets = stored(shingle_sets(texts, words))
         both = pairs.join(sets.withColumnsRenamed({"fp": "a", "grams": "ga"}).hint("merge"), "a").join(sets.withColumnsRenamed({"fp": "b", "grams": "gb"}).hint("merge"), "b")
         found = similar(both, similarity)
@@ -244,13 +263,13 @@ def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarit
 
     edges = close.unionByName(kept(tried)).distinct()
     root = fp_of.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("text_key", F.coalesce("root", "fp").alias("root"))
-    parted = shared.select("token", "text_key", "n", "at").join(root.hint("merge"), "text_key")
-    parted = parted.groupBy("token", "root").agg(F.collect_list(F.struct("text_key", "n", "at")).alias("held"))
-    parted = stored(parted.withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"))
-    one, two = (parted.withColumnsRenamed({"root": f"r{i}", "held": f"h{i}"}) for i in (1, 2))
-    left = one.join(two.hint("merge"), "token").where("r1 < r2").select(F.explode("h1").alias("p"), "h2").select("p", F.explode("h2").alias("q"))
-    left = left.where(possible(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at")))
-    left = ordered(left.select(F.col("p.text_key").alias("x"), F.col("q.text_key").alias("y")))
+    # The smaller text of a pair has its first common shingle early: the others of its prefix need no partner that is larger.
+    parted = stored(shared.select("token", "text_key", "n", "at").join(root.hint("merge"), "text_key"))
+    early = parted.where(F.col("at") <= F.col("n") * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    one, two = (x.select("token", F.col("text_key").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("at").alias(f"at{i}"), F.col("root").alias(f"r{i}")) for i, x in ((1, early), (2, parted)))
+    ahead = (F.col("r1") != F.col("r2")) & (F.struct("n1", "k1") < F.struct("n2", "k2"))
+    left = one.hint("merge").join(two, (one["token"] == two["token"]) & ahead & possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2")))
+    left = ordered(left.select(F.col("k1").alias("x"), F.col("k2").alias("y")))
     left = stored(left.join(tried.hint("merge"), ["a", "b"], "left_anti"))
     edges = stored(edges.unionByName(kept(left)).distinct())
     return fps, stored(nodes.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
@@ -267,13 +286,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component of near_classes: that of the smallest doc_id (null last), and of its texts the one of the
     smallest key. Rows that share a doc_id are told apart by their texts; of rows equal in both, one is kept, whichever."""
     fps, roots = near_classes(docs, **options)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = fps.groupBy("fp").agg(F.min(place).alias("first")).join(roots.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.text_key").alias("__key"))
-    keys = ["__none", "__id", "__key"]
-    rows = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__key": text_key(F.col("text"))})
+    first = fps.groupBy("fp").agg(F.expr(f"min({PLACE})").alias("first")).join(roots.hint("merge"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = first.select(*_keys(F.col("first.none"), F.col("first.doc_id"), F.col("first.text_key")))
     # Equal rows meet before the shuffle, so that they are no hot key; the join finds the rows where the first step put them.
-    return rows.dropDuplicates(keys).join(keep.hint("merge"), keys, "left_semi").select(*docs.columns)
+    return _keyed(docs).dropDuplicates(KEYS).join(keep.hint("merge"), KEYS, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
