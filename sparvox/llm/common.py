@@ -41,20 +41,26 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that stored() made and nothing reads any more."""
+    """Delete tables that stored() or bucketed() made and nothing reads any more."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        spark = table.sparkSession
+        if hasattr(table, "stored_as"):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.stored_as}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Like stored, but as a table bucketed by key: joins and cogroups by that key read it in place, without a shuffle.
+def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """Like stored, but as a table bucketed and sorted by keys: joins and cogroups by them read it in place, without a shuffle.
 
     The files lie in the shared folder; only the entry in the catalog is the session's."""
     spark = df.sparkSession
     name = f"{_prefix(spark)}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    table.stored_as, table.stored_at = name, path
+    return table
 
 
 def _prefix(spark: SparkSession) -> str:

@@ -5,18 +5,23 @@ belongs to an earlier document; the others are the batch's own and become a new
 sorted by key hash, so the merge reads it in place and only the batch is shuffled. When a level holds fanout runs they
 are merged into one of the next level.
 
-Defined results: a null or empty text is one empty line; a null doc_id sorts after all others; rows with one doc_id
-count as one document, so a key found only there keeps all its lines. Other columns pass through untouched.
+The table of runs lies in the shared folder. A line that very many documents hold is one key of each batch, and only its
+occurrences meet that key, in a join whose larger side Spark's adaptive execution deals out.
+
+Defined results: a null or empty text is one empty line; a null doc_id sorts after all others and counts as 2^63 - 1; rows with
+one doc_id count as one document, so a key found only there keeps all its lines. Repeated rows are treated alike; an empty table
+gives no rows; texts and lines may be of any length. Other columns pass through untouched, but for n_lines and n_dropped, which
+the operator's own replace; names that begin with __ are its own.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import bucketed, discard, documents, stored
 
 LAST = (1 << 63) - 1
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,16 +42,14 @@ def text_lines(text: Column) -> Column:
 class LevelledRuns:
     """Levels of sorted runs with columns h, g (the key) and owner (its first document)."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 3):
-        self.spark, self.buckets, self.fanout, self.levels = spark, buckets, fanout, []
+    def __init__(self, buckets: int, fanout: int = 3):
+        self.buckets, self.fanout, self.levels = buckets, fanout, []
 
-    def _write(self, df: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        df.select("h", "g", "owner").repartition(self.buckets, "h", "g").write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").saveAsTable(name)
-        return name
+    def _write(self, df: DataFrame) -> DataFrame:
+        return bucketed(df.select("h", "g", "owner").repartition(self.buckets, "h", "g"), self.buckets, "h", "g")
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(n) for level in self.levels for n in level]
+        return [run for level in self.levels for run in level]
 
     def add(self, df: DataFrame) -> None:
         """Add a batch's own keys as a run of the lowest level; full levels are compacted upwards. Keys of runs are disjoint."""
@@ -57,19 +60,14 @@ class LevelledRuns:
             self.levels[at].append(new)
             if len(self.levels[at]) < self.fanout:
                 return
-            merged = None
-            for name in self.levels[at]:
-                merged = self.spark.table(name) if merged is None else merged.unionByName(self.spark.table(name))
-            new, old = self._write(merged), self.levels[at]
-            self.levels[at] = []
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+            old, self.levels[at] = self.levels[at], []
+            new = self._write(reduce(DataFrame.unionByName, old))
+            discard(*old)
             at += 1
 
     def drop(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE {name}")
+        discard(*self.tables())
+        self.levels = []
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> DataFrame:
@@ -84,7 +82,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4) -> Da
     each = rows.select("id", "row", batch.cast("int").alias("batch"), F.posexplode("lines").alias("pos", "line"))
     each = each.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= min_chars)
     lines = stored(each.select("id", "row", "pos", "batch", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), "batch")
-    runs = LevelledRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = LevelledRuns(buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     drops = None
     try:
         for b in range(len(set(edges)) + 1):

@@ -173,7 +173,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     spark, dictionary = docs.sparkSession, trained(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     beside = spark.createDataFrame([(hashlib.sha256(dictionary).digest(), None, None, None, None, 0, dictionary)], LANDED)
-    land = bucketed(landed(docs, dictionary).unionByName(beside), "place", n)
+    land = bucketed(landed(docs, dictionary).unionByName(beside), n, "place")
     refs = land.where("media IS NOT NULL").select("doc_id", "n_bytes", "media", "chunks")
     store = land.where("segment IS NOT NULL").select("place", "segment", "data")
     # Chunks meet their lists by digest. The index of digests picks one stored copy of each; segment <= kept holds for that one alone.

@@ -334,9 +334,22 @@ def test_line_runs_compact(spark, tmp_path):
 
     rows = [(i, f"the common line\nline of group {i % 7}\nonly here {i}", ) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
     lost = {r["id"]: len(r["drop"]) for r in repeated_lines(docs, batches=9).collect()}
     assert lost == {i: (1 if i < 7 else 2) for i in range(1, 60)}
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    assert {t.name for t in spark.catalog.listTables()} <= before
+
+
+def test_clear_stored(spark):
+    """Nothing of an application's tables is left, in the catalog or in the shared folder."""
+    from sparvox.llm.common import bucketed, clear_stored, discard, shared_dir, stored
+
+    a, b = stored(spark.range(5)), bucketed(spark.range(9), 2, "id")
+    assert (a.count(), b.count()) == (5, 9)
+    discard(a)
+    clear_stored(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparvox_")]
+    assert not os.path.exists(shared_dir(spark).removeprefix("file:"))
 
 
 def test_media(spark, case):
