@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .common import clear_stored  # noqa: F401 (for those who run the queries)
 from .hpylm import op2_hpylm
 from .licenses import OP8_SQL, op8_licenses
 from .linededup import OP3_SQL, op3_line_dedup
