@@ -90,7 +90,7 @@ def unpack_version(v: Column) -> list[Column]:
 
 
 #: The names of grid types and classes by id.
-GRID_TYPES = ("Unknown", "Float", "Double", "Int16", "Int32", "Int64", "Vec3f", "Vec3d", "Mask", "Half", "UInt32", "Boolean", "RGBA8", "Fp4", "Fp8", "Fp16", "FpN", "Vec4f", "Vec4d", "Index", "OnIndex", "IndexMask", "OnIndexMask", "PointIndex", "Vec3u8", "Vec3u16", "UInt8", "End")
+GRID_TYPES = ("Unknown", "Float", "Double", "Int16", "Int32", "Int64", "Vec3f", "Vec3d", "Mask", "Half", "UInt32", "Boolean", "RGBA8", "Fp4", "Fp8", "Fp16", "FpN", "Vec4f", "Vec4d", "Index", "OnIndex", "Retired21", "Retired22", "PointIndex", "Vec3u8", "Vec3u16", "UInt8", "End")
 GRID_CLASSES = ("Unknown", "LevelSet", "FogVolume", "Staggered", "PointIndex", "PointData", "Topology", "VoxelVolume", "IndexGrid", "TensorGrid", "VoxelBVH", "End")
 
 
@@ -131,22 +131,27 @@ def splitmix64(seed: int, draws: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+#: The increments and multipliers of splitmix32, and the increment and constants of mulberry32.
+SPLITMIX32, MULBERRY32 = (0x9E3779B9, 0x21F0AAAD, 0x735A2D97), (0x6D2B79F5, 1, 61)
+
+
 def splitmix32(seed: int, draws: np.ndarray) -> np.ndarray:
     """A 32-bit generator of the same form; uniform in [0, 1)."""
     u = np.uint32
     with np.errstate(over="ignore"):
-        z = u(seed) + draws.astype(u) * u(0x9E3779B9)
-        z = (z ^ (z >> u(16))) * u(0x21F0AAAD)
-        z = (z ^ (z >> u(15))) * u(0x735A2D97)
+        z = u(seed) + draws.astype(u) * u(SPLITMIX32[0])
+        z = (z ^ (z >> u(16))) * u(SPLITMIX32[1])
+        z = (z ^ (z >> u(15))) * u(SPLITMIX32[2])
         return (z ^ (z >> u(15))) / 4294967296.0
 
 
 def mulberry32(seed: int, draws: np.ndarray) -> np.ndarray:
+    """Draw k (from 1) of a small 32-bit generator, for each k; uniform in [0, 1)."""
     u = np.uint32
     with np.errstate(over="ignore"):
-        a = u(seed) + draws.astype(u) * u(0x6D2B79F5)
-        t = (a ^ (a >> u(15))) * (a | u(1))
-        t = (t + (t ^ (t >> u(7))) * (t | u(61))) ^ t
+        a = u(seed) + draws.astype(u) * u(MULBERRY32[0])
+        t = (a ^ (a >> u(15))) * (a | u(MULBERRY32[1]))
+        t = (t + (t ^ (t >> u(7))) * (t | u(MULBERRY32[2]))) ^ t
         return (t ^ (t >> u(14))) / 4294967296.0
 
 

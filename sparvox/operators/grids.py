@@ -6,14 +6,16 @@ that many grids are built in one pass; blocks of voxels, not grids, are what wor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import masks
-from ..functions.keys import AXES, LEAF, LOWER, UPPER, align, leaf_slot, lower_slot, upper_slot
+from ..functions.keys import AXES, LEAF, LOWER, UPPER, align, leaf_slot, lower_slot, mulberry32, upper_slot
 
 ORIGIN = ("ox", "oy", "oz")
 
@@ -360,16 +362,34 @@ def fog(spark: SparkSession, shape: str, low: Sequence[int], high: Sequence[int]
     return rows.select(*AXES, value.cast("float").alias("value"), (d <= 0).alias("active"))
 
 
+def _dense(spark: SparkSession, n: int, frames: int = 1) -> DataFrame:
+    return spark.range(frames * n**3).select((F.expr(f"id div {n**3}")).cast("int").alias("frame"), *[F.expr(f"cast((id div {n ** (2 - i)}) % {n} as int)").alias(a) for i, a in enumerate(AXES)])
+
+
 def orbiting_blob(spark: SparkSession, frames: int = 24, n: int = 64, floor: float = 0.06) -> DataFrame:
-    """Animated frames: a blob circles the middle; what is fainter than floor is 0."""
-    rows = spark.range(frames * n**3).select((F.expr(f"id div {n**3}")).cast("int").alias("frame"), *[F.expr(f"cast((id div {n ** (2 - i)}) % {n} as int)").alias(a) for i, a in enumerate(AXES)])
-    turn = F.col("frame") * (2 * 3.141592653589793 / frames)
-    centre = [n / 2 + F.cos(turn) * (n / 5), F.lit(n / 2), n / 2 + F.sin(turn) * (n / 5)]
-    r = F.sqrt(sum((F.col(a) - c) * (F.col(a) - c) for a, c in zip(AXES, centre, strict=True)))
-    v = F.greatest(1 - r / (n * 0.22), F.lit(0.0))
+    """Animated frames in a box of n voxels a side: a soft ball circles the middle, bobs and pulses, with a swirl in it; what is fainter than floor is 0."""
+    rows = _dense(spark, n, frames)
+    x, y, z = (F.col(a).cast("double") for a in AXES)
+    turn = F.col("frame") / F.lit(float(frames)) * (2 * math.pi)
+    middle = (n - 1) / 2
+    centre = (middle + n * 0.18 * F.cos(turn), middle + n * 0.08 * F.sin(turn * 2), middle + n * 0.18 * F.sin(turn))
+    radius = n * 0.22 * (1 + 0.15 * F.sin(turn * 3))
+    r = F.sqrt(sum(((a - c) * (a - c) for a, c in zip((x, y, z), centre, strict=True)), F.lit(0.0)))
+    v = 1 - r / radius + 0.15 * F.sin(x * 0.3 + turn) * F.sin(z * 0.3 - turn)
+    v = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
     return with_active(rows.withColumn("value", F.when(v < floor, 0.0).otherwise(v).cast("float")))
 
 
+def lobed_ball(spark: SparkSession, n: int = 96, seed: int = 1234) -> DataFrame:
+    """A ball that fades outwards, modulated by two products of sines whose phases are drawn from the seed."""
+    p = [float(v) * 2 * math.pi for v in mulberry32(seed, np.arange(1, 4))]
+    x, y, z = (F.col(a) - (n - 1) / 2 for a in AXES)
+    base = F.greatest(1 - F.sqrt(x * x + y * y + z * z) / (n * 0.34), F.lit(0.0))
+    lobes = 0.18 * F.sin(x * 0.22 + p[0]) * F.sin(y * 0.22 + p[1]) + 0.12 * F.sin(z * 0.28 + p[2])
+    v = F.least(F.greatest(base + base * lobes, F.lit(0.0)), F.lit(1.0))
+    return with_active(_dense(spark, n).drop("frame").withColumn("value", v.cast("float")))
+
+
 def merge_grids(a: DataFrame, b: DataFrame, how: str = "max") -> DataFrame:
     """Extension: combine two grids voxel by voxel: max, add, or over (a hides b)."""
     both = a.select(*AXES, F.col("value").alias("va"), F.col("active").alias("aa")).join(b.select(*AXES, F.col("value").alias("vb"), F.col("active").alias("ab")), list(AXES), "full")

@@ -16,43 +16,62 @@ from ..functions.optics import lerp
 from .grids import EDGE, ORIGIN
 
 
-def read_values(probes: DataFrame, leaf: DataFrame, background: float = 0.0, tiles: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """probes (..., x, y, z) get value, active and level: 0 leaf, 1 lower tile, 2 upper tile, 3 root tile, 4 background."""
+def read_values(probes: DataFrame, leaf: DataFrame, background: float = 0.0, tiles: DataFrame | None = None, keys: Sequence[str] = (), levels: bool = True) -> DataFrame:
+    """probes (..., x, y, z) get value, active and level, that of the node whose slot answers: 0 a leaf, 1 a lower node, 2 an upper
+    node, 3 a root tile, 4 nothing. Nodes are those above leaves and tiles; a slot of one that has no tile is inactive background.
+    levels: False leaves out the nodes that only tell where such a slot is, and its level is 4; value and active stay the same."""
     xyz = [F.col(a) for a in AXES]
     at = probes.withColumns({o: align(c, LEAF) for o, c in zip(ORIGIN, xyz, strict=True)})
     found = at.join(leaf.select(*keys, *ORIGIN, F.col("values").alias("__values"), F.col("mask").alias("__mask")), [*keys, *ORIGIN], "left").drop(*ORIGIN)
     slot = leaf_slot(*xyz)
     found = found.withColumn("__0", F.when(F.col("__values").isNotNull(), F.struct(F.get("__values", slot).cast("double").alias("value"), test_bit(F.col("__mask"), slot).alias("active"), F.lit(0).alias("level")))).drop("__values", "__mask")
     names = ["__0"]
-    if tiles is not None:
-        for level, edge in EDGE.items():
+    for level, edge in EDGE.items():
+        if tiles is not None:
             one = tiles.where(F.col("level") == level).select(*keys, *[F.col(o).alias(f"__{o}") for o in ORIGIN], F.struct(F.col("value").cast("double").alias("value"), F.col("active"), F.lit(level).alias("level")).alias(f"__{level}"))
             here = found.withColumns({f"__{o}": align(c, edge) for o, c in zip(ORIGIN, xyz, strict=True)})
             found = here.join(one, [*keys, *[f"__{o}" for o in ORIGIN]], "left").drop(*[f"__{o}" for o in ORIGIN])
             names.append(f"__{level}")
+        if levels and level < 3:
+            found = _inside(found, leaf, tiles, keys, level, float(background))
+            names.append(f"__in{level}")
     none = F.struct(F.lit(float(background)).alias("value"), F.lit(False).alias("active"), F.lit(4).alias("level"))
     return found.withColumn("__r", F.coalesce(*names, none)).select(*probes.columns, "__r.value", "__r.active", "__r.level")
 
 
+def _inside(probes: DataFrame, leaf: DataFrame, tiles: DataFrame | None, keys: Sequence[str], level: int, background: float) -> DataFrame:
+    """Mark the probes within nodes of a level (1 lower, 2 upper): those hold leaves, or tiles of this level or below."""
+    edge = EDGE[level + 1]
+    held = [leaf.select(*keys, *ORIGIN)] + ([tiles.where(F.col("level") <= level).select(*keys, *ORIGIN)] if tiles is not None else [])
+    names = [f"__n{o}" for o in ORIGIN]
+    nodes = [x.select(*keys, *[align(F.col(o), edge).alias(n) for o, n in zip(ORIGIN, names, strict=True)]) for x in held]
+    nodes = (nodes[0].unionByName(nodes[1]) if len(nodes) > 1 else nodes[0]).distinct()
+    here = F.struct(F.lit(background).alias("value"), F.lit(False).alias("active"), F.lit(level).alias("level"))
+    at = probes.withColumns({n: align(F.col(a), edge) for n, a in zip(names, AXES, strict=True)})
+    return at.join(nodes.withColumn(f"__in{level}", here), [*keys, *names], "left").drop(*names)
+
+
 def sample_trilinear(points: DataFrame, leaf: DataFrame, background: float = 0.0, tiles: DataFrame | None = None, key: str = "probe_id") -> DataFrame:
-    """points (key, x, y, z) get value: eight taps, mixed along x, then y, then z. Inactive taps count with their values."""
+    """points (key, x, y, z) get value: eight taps, mixed along x, then y, then z. Inactive taps count with their values. key is unique."""
     base = points.withColumns({f"b{a}": F.floor(a).cast("int") for a in AXES})
     taps = F.array(*[F.struct(F.lit(t).alias("tap"), *[(F.col(f"b{a}") + (t >> s & 1)).alias(a) for s, a in enumerate(AXES)]) for t in range(8)])
-    fan = base.select(key, F.inline(taps))
-    read = read_values(fan, leaf, background, tiles)
-    eight = read.groupBy(key).agg(*[F.max(F.when(F.col("tap") == t, F.col("value"))).alias(f"v{t}") for t in range(8)])
-    v = [F.col(f"v{t}") for t in range(8)]
+    rest = [c for c in points.columns if c != key]
+    fan = base.select(key, F.struct(*rest).alias("__p"), F.inline(taps))  # points go along with their taps, so they are not read again
+    read = read_values(fan, leaf, background, tiles, levels=False)
+    eight = read.groupBy(key).agg(F.first("__p").alias("__p"), *[F.max(F.when(F.col("tap") == t, F.col("value"))).alias(f"v{t}") for t in range(8)])
+    eight = eight.select(key, "__p.*", *[F.col(f"v{t}").alias(f"__v{t}") for t in range(8)])
+    v = [F.col(f"__v{t}") for t in range(8)]
     fx, fy, fz = (F.col(a) - F.floor(a) for a in AXES)
     low = lerp(lerp(v[0], v[1], fx), lerp(v[2], v[3], fx), fy)
     high = lerp(lerp(v[4], v[5], fx), lerp(v[6], v[7], fx), fy)
-    return points.join(eight, key).select(*points.columns, lerp(low, high, fz).alias("value"))
+    return eight.select(*points.columns, lerp(low, high, fz).alias("value"))
 
 
 def sample_nearest(points: DataFrame, leaf: DataFrame, background: float = 0.0, tiles: DataFrame | None = None) -> DataFrame:
     """The voxel whose coordinates are floor(p + 0.5)."""
     rest = [c for c in points.columns if c not in AXES]
     at = points.select(*rest, *[F.col(a).alias(f"p{a}") for a in AXES], *[F.floor(F.col(a) + 0.5).cast("int").alias(a) for a in AXES])
-    found = read_values(at, leaf, background, tiles)
+    found = read_values(at, leaf, background, tiles, levels=False)
     return found.select(*rest, *[F.col(f"p{a}").alias(a) for a in AXES], "value", "active")
 
 

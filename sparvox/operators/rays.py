@@ -1,6 +1,6 @@
 """Fixed-step ray marching: rays clipped to the box, steps as rows, samples by join, and front-to-back compositing per ray.
 
-Steps that meet no leaf are dropped before sampling where the background is empty; a ray's steps are folded in order, so
+Steps and shadow points that no leaf is near are dropped before sampling: the background is empty. A ray's steps are folded in order, so
 that light left over is a product in the order of the march."""
 
 from __future__ import annotations
@@ -51,11 +51,13 @@ def near_leaves(points: DataFrame, leaf: DataFrame) -> DataFrame:
 
 
 def shadow(steps: DataFrame, leaf: DataFrame, sun: Sequence[float], m: Material) -> DataFrame:
-    """(key, light): how much of the sun reaches each step: exp of minus the density summed towards it."""
+    """(key, light): how much of the sun reaches each step: exp of minus the scaled density summed towards it. Points that no leaf is
+    near have no density, so they are dropped before they are sampled."""
     n = F.sequence(F.lit(1), F.lit(min(m.shadow_steps, 128)))
     fan = steps.select("key", *AXES, F.explode(n).alias("k")).select("key", F.concat_ws(":", "key", "k").alias("probe_id"), *[(F.col(a) + F.col("k") * float(s) * m.step).alias(a) for a, s in zip(AXES, sun, strict=True)])
-    read = sample_trilinear(fan, leaf)
-    return read.groupBy("key").agg(F.exp(-F.sum(F.greatest("value", F.lit(0.0)) * m.shadow_density * m.step)).alias("light"))
+    read = sample_trilinear(near_leaves(fan, leaf), leaf)
+    light = F.exp(-F.sum(F.greatest("value", F.lit(0.0)) * m.density_scale * m.shadow_density * m.step)).alias("__light")
+    return steps.select("key").join(read.groupBy("key").agg(light), "key", "left").select("key", F.coalesce("__light", F.lit(1.0)).alias("light"))
 
 
 def composite(steps: DataFrame, least: float = 0.003) -> DataFrame:
@@ -76,7 +78,7 @@ def render(rays: DataFrame, leaf: DataFrame, low: Sequence[int], high: Sequence[
     m = m or Material()
     rows = march(clip(rays, low, high), m.step, m.max_steps).withColumn("key", F.concat_ws("/", "ray_id", "step"))
     points = rows.select(F.col("key").alias("probe_id"), *AXES, "ray_id", "step", "dx", "dy", "dz")
-    read = sample_trilinear(points, leaf).where("value > 0").withColumnRenamed("probe_id", "key")
+    read = sample_trilinear(near_leaves(points, leaf), leaf).where("value > 0").withColumnRenamed("probe_id", "key")
     read = read.join(shadow(read, leaf, sun, m), "key") if shadows else read.withColumn("light", F.lit(1.0))
     cos = sum((F.col(f"d{a}") * float(s) for a, s in zip(AXES, sun, strict=True)), F.lit(0.0))
     lit = F.lit(m.ambient) + m.sun * henyey_greenstein(cos, m.g) * F.col("light")

@@ -148,23 +148,31 @@ def walk(image: bytes) -> tuple[float, list[tuple], list[tuple]]:
             tiles.append((3, *o, value, bool(state)))
             continue
         up = root + child
-        for level, base, origin, slots, step, bits in _children(image, up, o, tiles):
+        for level, base, origin, slots, step, bits in _children(image, up, o, tiles, background):
             for k in np.flatnonzero(slots):
                 lo = base + struct.unpack_from("<q", image, base + 8256 + 8 * int(k))[0]
                 lower = tuple(a + b for a, b in zip(origin, _slot_xyz(int(k), 5, 128)))
                 value_mask, child_mask = _bits(image, lo + 32, 4096), _bits(image, lo + 544, 4096)
                 table = np.frombuffer(image, "<f4", 8192, lo + 1088)[::2]
-                tiles += [(1, *(a + b for a, b in zip(lower, _slot_xyz(int(j), 4, 8))), float(table[j]), bool(value_mask[j])) for j in np.flatnonzero(~child_mask & (value_mask | (table != np.float32(background))))]
+                tiles += [(1, *(a + b for a, b in zip(lower, _slot_xyz(int(j), 4, 8))), float(table[j]), bool(value_mask[j])) for j in _told(value_mask, child_mask, table, background)]
                 for j in np.flatnonzero(child_mask):
                     at = lo + struct.unpack_from("<q", image, lo + 1088 + 8 * int(j))[0]
                     leaves.append((*(a + b for a, b in zip(lower, _slot_xyz(int(j), 4, 8))), decode_leaf(image, at, grid_type), np.frombuffer(image, "<i8", 8, at + 16)))
     return background, leaves, tiles
 
 
-def _children(image, up, o, tiles):
+def _told(active, child, table, background) -> np.ndarray:
+    """The tiles of a node that say more than the background does, and its first inactive one, which the background near data is read off."""
+    told = ~child & (active | (table != np.float32(background)))
+    first = np.flatnonzero(~child & ~active)[:1]
+    told[first] = True
+    return np.flatnonzero(told)
+
+
+def _children(image, up, o, tiles, background):
     value_mask, child_mask = _bits(image, up + 32, 32768), _bits(image, up + 4128, 32768)
     table = np.frombuffer(image, "<f4", 65536, up + 8256)[::2]
-    tiles += [(2, *(a + b for a, b in zip(o, _slot_xyz(int(k), 5, 128))), float(table[k]), True) for k in np.flatnonzero(~child_mask & value_mask)]
+    tiles += [(2, *(a + b for a, b in zip(o, _slot_xyz(int(k), 5, 128))), float(table[k]), bool(value_mask[k])) for k in _told(value_mask, child_mask, table, background)]
     yield 2, up, o, child_mask, 128, 5
 
 
@@ -332,11 +340,13 @@ TILES = "path string, grid_index int, level int, ox int, oy int, oz int, value d
 def _rows(path: str, data: bytes, table: str, permissive: bool) -> Iterator[dict]:
     try:
         for i, (meta, image) in enumerate(images(data)):
-            background, leaves, tiles = walk(image)
             at = {"path": path, "grid_index": i}
-            if table == "grids":
-                yield {**at, **meta, "background": background, "error": None}
-            elif table == "leaves":
+            if table == "grids":  # the headers tell all; no node is visited
+                root = GRID + struct.unpack_from("<Q", image, GRID + 24)[0]
+                yield {**at, **meta, "background": struct.unpack_from("<f", image, root + 28)[0], "error": None}
+                continue
+            background, leaves, tiles = walk(image)
+            if table == "leaves":
                 for ox, oy, oz, values, mask in leaves:
                     yield {**at, "ox": ox, "oy": oy, "oz": oz, "values": values.tolist(), "mask": mask.tolist(), "active_count": int(np.unpackbits(mask.view(np.uint8)).sum())}
             else:
@@ -351,6 +361,11 @@ def _rows(path: str, data: bytes, table: str, permissive: bool) -> Iterator[dict
 
 def read(spark: SparkSession, path: str, table: str = "grids", permissive: bool = False) -> DataFrame:
     """Tables of .nvdb files at a path of any store that Spark reads: grids, leaves or tiles. permissive: a broken file is a grids row with an error."""
+    return tables(spark.read.format("binaryFile").load(path), table, permissive)
+
+
+def tables(files: DataFrame, table: str = "grids", permissive: bool = False) -> DataFrame:
+    """The same of files at hand as rows (path, content)."""
     schema = {"grids": GRIDS, "leaves": LEAVES, "tiles": TILES}[table]
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -366,7 +381,7 @@ def read(spark: SparkSession, path: str, table: str = "grids", permissive: bool
                 if held:
                     yield pd.DataFrame(held, columns=names, dtype=object)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 class NvdbSource(DataSource):
@@ -415,6 +430,16 @@ def to_images(leaf: DataFrame, key: str = "grid_id", **how) -> DataFrame:
     return leaf.select(key, "ox", "oy", "oz", "values", "mask").groupBy(key).applyInPandas(run, f"{key} {kind}, image binary")
 
 
+def pack_files(grids: DataFrame, file: str, codec: int = 0, key: str = "grid_id") -> DataFrame:
+    """(path, content): the images (key, image) of each value of column `file` as one file of one segment, in the order of key. Write the
+    rows with any sink that takes bytes; tables() reads them back. The grids of a file meet in one task: a file is one value."""
+
+    def run(k, frame):
+        return pd.DataFrame({"path": [f"{k[0]}.nvdb"], "content": [file_bytes([bytes(x) for x in frame.sort_values(key)["image"]], codec)]})
+
+    return grids.select(file, key, "image").groupBy(file).applyInPandas(run, "path string, content binary")
+
+
 def from_images(grids: DataFrame, key: str = "grid_id") -> DataFrame:
     """(key, image) back to the leaves of each grid."""
     kind = dict(grids.dtypes)[key]
@@ -447,6 +472,22 @@ def write(grids: DataFrame, folder: str, key: str = "grid_id", codec: int = 0) -
     grids.select(key, "image").foreachPartition(run)
 
 
+def load(files: DataFrame, table: str = "grids", permissive: bool = False) -> DataFrame:
+    """Grids (path, grid_index, name, grid_type, background, voxel_count) or leaves of files (path, content), each by its own format.
+    Files of no known format give no rows, or with permissive a grids row with an error."""
+    from . import vdb
+
+    told = files.withColumn("__format", detect(F.col("path")))
+    names = {"grids": ["path", "grid_index", "name", "grid_type", "background", "voxel_count", "error"], "leaves": ["path", "grid_index", "ox", "oy", "oz", "values", "mask", "active_count"]}[table]
+    rows = tables(told.where("__format = 'nvdb'"), table, permissive).select(*names)
+    other = vdb.tables(told.where("__format = 'vdb'"), table, permissive).select(*names)
+    rows = rows.unionByName(other.withColumn("values", F.col("values").cast("array<double>")) if table == "leaves" else other)
+    if table == "grids" and permissive:
+        unknown = told.where("__format = 'unknown'").select(*[F.lit(None).cast(rows.schema[n].dataType).alias(n) if n not in ("path", "error") else F.col("path") if n == "path" else F.lit("no known format").alias("error") for n in names])
+        rows = rows.unionByName(unknown)
+    return rows
+
+
 def detect(path) -> object:
     """Column: the format by the name's end, else by magic number (columns path, content)."""
     magic = F.substring("content", 1, 7).cast("string") == "NanoVDB"

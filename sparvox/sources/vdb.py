@@ -207,6 +207,11 @@ LEAVES = "path string, grid_index int, ox int, oy int, oz int, values array<floa
 
 def read(spark: SparkSession, path: str, table: str = "grids", permissive: bool = False) -> DataFrame:
     """Tables of .vdb files at a path of any store that Spark reads: grids or leaves."""
+    return tables(spark.read.format("binaryFile").load(path), table, permissive)
+
+
+def tables(files: DataFrame, table: str = "grids", permissive: bool = False) -> DataFrame:
+    """The same of files at hand as rows (path, content)."""
     schema = {"grids": GRIDS, "leaves": LEAVES}[table]
     names = re.findall(r"(?:^|, )(\w+) ", schema)
 
@@ -231,4 +236,4 @@ def read(spark: SparkSession, path: str, table: str = "grids", permissive: bool
                 for i in range(0, len(held), 512):
                     yield pd.DataFrame(held[i : i + 512], columns=names, dtype=object)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)

@@ -70,7 +70,7 @@ def test_image_layout(spark):
     image = nvdb.grid_image([(0, 0, 0, np.ones(512), np.full(8, -1)), (-8, 0, 0, np.ones(512), np.full(8, -1))], background=2.0)
     assert len(image) == 672 + 64 + 64 + 2 * (32 + 270400 + 33856 + 2144) and len(image) % 32 == 0
     background, leaves, tiles = nvdb.walk(image)
-    assert background == 2.0 and [x[:3] for x in leaves] == [(-8, 0, 0), (0, 0, 0)] and tiles == []
+    assert background == 2.0 and [x[:3] for x in leaves] == [(-8, 0, 0), (0, 0, 0)] and [(x[0], x[4], x[5]) for x in tiles] == [(2, 2.0, False), (1, 2.0, False)] * 2
 
 
 @pytest.mark.parametrize("what", ["magic", "short", "cut", "size", "blosc", "version", "type", "bomb"])
@@ -201,3 +201,47 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"fps": 12,\n "frames": ["a.nvdb", "/abs/b.nvdb"]}')
     got = [tuple(r) for r in S.manifest(spark, f"{tmp_path}/m.json").orderBy("frame").collect()]
     assert got == [(0, f"{tmp_path}/a.nvdb", 12.0), (1, "/abs/b.nvdb", 12.0)]
+
+
+def test_mulberry32_by_integer_steps():
+    from sparvox.functions.keys import mulberry32
+    from sparvox.plans.queries import PHASES
+
+    state, want = 1234, []
+    for _ in range(3):
+        state = (state + 0x6D2B79F5) % 2**32
+        t = (state ^ state >> 15) * (state | 1) % 2**32
+        t = (t + (t ^ t >> 7) * (t | 61)) % 2**32 ^ t
+        want.append((t ^ t >> 14) / 2**32)
+    assert np.allclose(mulberry32(1234, np.arange(1, 4)), want, atol=0)
+    assert [f"({v!r}::DOUBLE * 2 * pi())" for v in want] == PHASES
+
+
+def test_inactive_tiles_of_a_file(spark):
+    """Inactive tiles at both levels are read where they differ from the background, and the first of them where they don't."""
+    import struct
+
+    from sparvox.operators import grids as G
+    from sparvox.operators import lookup as L
+    from sparvox.sources import nvdb as N
+
+    values = np.ones(512, np.float32)
+    image = bytearray(N.grid_image([(0, 0, 0, values, np.full(8, -1, np.int64))], name="g", background=0.5))
+    background, leaves, tiles = N.walk(bytes(image))
+    assert sorted(t[0] for t in tiles) == [1, 2] and all(t[4] == 0.5 and not t[5] for t in tiles)  # the first inactive ones
+    root = N.GRID + struct.unpack_from("<Q", image, N.GRID + 24)[0]
+    up = root + struct.unpack_from("<q", image, root + N.ROOT + 8)[0]
+    low = up + struct.unpack_from("<q", image, up + 8256)[0]
+    struct.pack_into("<f", image, up + 8256 + 8 * 3, 7.5)  # upper slot 3: (0, 0, 384)
+    struct.pack_into("<f", image, low + 1088 + 8 * 2, 6.5)  # lower slot 2: (0, 0, 16)
+    files = spark.createDataFrame([("a.nvdb", bytes(image)), ("b.txt", b"nothing of the kind")], "path string, content binary")
+    t = N.tables(files.where("path = 'a.nvdb'"), "tiles")
+    found = {tuple(r) for r in t.select("level", "ox", "oy", "oz", "value", "active").collect()}
+    assert {(2, 0, 0, 384, 7.5, False), (1, 0, 0, 16, 6.5, False)} <= found
+    leaf = N.load(files, "leaves", permissive=True)
+    probes = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, 20), (2, 0, 0, 30), (3, 5, 5, 400), (4, 0, 200, 0), (5, -1, 0, 0)], "probe_id long, x int, y int, z int")
+    got = {r["probe_id"]: (r["value"], r["active"], r["level"]) for r in L.read_values(probes, leaf, 0.5, t).collect()}
+    assert got == {0: (1.0, True, 0), 1: (6.5, False, 1), 2: (0.5, False, 1), 3: (7.5, False, 2), 4: (0.5, False, 2), 5: (0.5, False, 4)}
+    assert G.effective_background(t, 0.5).first()["background"] == 0.5  # the first inactive lower tile: slot 1 holds the background
+    grids = {r["path"]: (r["name"], r["error"]) for r in N.load(files, "grids", permissive=True).collect()}
+    assert grids == {"a.nvdb": ("g", None), "b.txt": (None, "no known format")}
