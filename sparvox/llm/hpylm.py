@@ -41,6 +41,8 @@ from .common import bucketed, discard, documents, large_strings, release, slices
 
 #: Steps of log10 probabilities on their way from blocks to chunks: a token's is off by 4e-6 at most.
 STEP = 1 << 17
+#: Spark allows a table 100,000 buckets.
+MOST_BUCKETS = 50_000
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 
 
@@ -604,7 +606,7 @@ def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1
     rounds after the first burn_in are averaged. block_tokens: tokens a block and a part of the work; it should fit a task's memory."""
     spark = docs.sparkSession
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = bucketed(chunks(docs, held_out), few, "chunk")
+    table = bucketed(chunks(docs, held_out), min(max(few, docs.rdd.getNumPartitions()), MOST_BUCKETS), "chunk")  # a task writes few chunks, so few files
     sums = table.agg(F.sum("n_train").alias("n"), F.sum("n_tokens").alias("all")).first()
     blocks = max(1, -(-(sums["all"] or 0) // block_tokens), few)
     model = {"n_train": sums["n"] or 0, "blocks": blocks, "parts": blocks, "seed": seed, "order": order, "discount": discount, "strength": strength}
@@ -614,7 +616,7 @@ def train_and_score(docs: DataFrame, held_out, rounds: int = 4, burn_in: int = 1
     words = words.where("chunk IS NOT NULL").select("chunk", F.col("part").alias("key"), F.lit("words").alias("kind"), "data")
     release(spark)
 
-    built = bucketed(build_blocks(requests(table, words, model), model), few, "block")
+    built = bucketed(build_blocks(requests(table, words, model), model), min(blocks, MOST_BUCKETS), "block")
     static, seats, outer = (built.where(F.col("kind") == k) for k in ("static", "seats", "outer"))
     seats, outer = seats.select(*MOVED), outer.select(*MOVED)
     parts = stored(build_parts(outer, model), "kind")

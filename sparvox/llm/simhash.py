@@ -69,10 +69,20 @@ def block_masks(max_bits: int, spare: int = 3) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
+def spare_blocks(n: int, max_bits: int) -> int:
+    """How many blocks the keys of n fingerprints are made of: three, or more where chance would let a fingerprint meet another one on a
+    key. Longer keys take more masks, and find the same pairs."""
+    spare = 3
+    while n > 2.0 ** (BITS * spare / (max_bits + spare) + 1):
+        spare += 1
+    return spare
+
+
+def links(nodes: DataFrame, max_bits: int = 3, spare: int | None = None) -> DataFrame:
     """(a, b, bits), a < b: all pairs of distinct fingerprints (column fp) that differ in max_bits bits or fewer, each pair once:
     at the first mask on which it agrees."""
-    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(max_bits)])
+    spare = spare_blocks(nodes.count(), max_bits) if spare is None else spare
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(max_bits, spare)])
     keyed = nodes.select("fp", F.posexplode(masks).alias("block", "mask")).select("block", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))

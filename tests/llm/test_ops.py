@@ -65,7 +65,7 @@ def test_simhash(spark, case):
 
 
 def test_simhash_chain(spark):
-    from sparvox.llm.simhash import components, links
+    from sparvox.llm.simhash import components, links, spare_blocks
 
     rng = np.random.default_rng(1)
     chain = [int(rng.integers(-(1 << 62), 1 << 62))]
@@ -73,8 +73,10 @@ def test_simhash_chain(spark):
         chain.append(chain[-1] ^ sum(1 << int(b) for b in rng.choice(62, 3, replace=False)))
     nodes = sorted({*chain, *[int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)]})
     pairs = {(a, b, ((a ^ b) & ((1 << 64) - 1)).bit_count()) for i, b in enumerate(nodes) for a in nodes[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3}
-    e = links(spark.createDataFrame([(n,) for n in nodes], "fp long"))
-    assert {tuple(r) for r in e.collect()} == pairs
+    table = spark.createDataFrame([(n,) for n in nodes], "fp long")
+    e = links(table)
+    assert {tuple(r) for r in e.collect()} == pairs == {tuple(r) for r in links(table, spare=5).collect()}
+    assert [spare_blocks(n, 3) for n in (0, 10**9, 5 * 10**10)] == [3, 3, 4] and spare_blocks(10**9, 5) > 3
     roots = dict(map(tuple, components(e.select("a", "b")).collect()))
     assert {roots[n] for n in chain if n != min(chain)} == {min(chain)}
 
