@@ -191,7 +191,7 @@ def vocabulary(table: DataFrame, parts: int, hot: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "chunk", "known", "often", "data"])
 
     rows = table.select("chunk", "data").mapInArrow(sent, "part long, chunk long, data binary")
-    return rows.groupBy("part").applyInArrow(merged, "part long, chunk long, known long, often array<struct<id: long, n: long>>, data binary")
+    return rows.repartition(parts, "part").groupBy("part").applyInArrow(merged, "part long, chunk long, known long, often array<struct<id: long, n: long>>, data binary")
 
 
 def _named(chunk: dict, replies: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -507,7 +507,7 @@ def build_blocks(sent: DataFrame, model: dict) -> DataFrame:
         rows = [{"kind": "static", "block": b, "static": _squeeze(block), "asks": packed}, _seats_row("seats", "block", b, seats)]
         return _rows(BUILT, rows + _outer_rows(b, keys[0], r.sent(seats), *keys[1:]))
 
-    return sent.groupBy("block").applyInArrow(run, _schema(BUILT))
+    return sent.repartition(model["blocks"], "block").groupBy("block").applyInArrow(run, _schema(BUILT))  # a task holds a few blocks at any size
 
 
 def build_parts(outer: DataFrame, model: dict) -> DataFrame:
