@@ -7,7 +7,8 @@ length and read their sequence and offset off the plan. The plan covers the whol
 partitions, and it stays as small for any number of documents.
 
 Defined results: a null text is an empty one and gives a single piece with the end token; repeated rows are packed one
-by one; a null doc_id is carried as it is.
+by one; a null doc_id is carried as it is. An empty table gives no rows; a text of any length is encoded whole and cut. Columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

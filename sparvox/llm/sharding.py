@@ -6,7 +6,8 @@ overfills are subdivided by doc_id. Sums over ranges then place every range, and
 A group of equal texts of under a hundredth of a shard stays in one shard; a larger one is cut where the bytes say.
 
 Defined results: a null text has size 1 and crc32 0; null doc_ids come first within their text; repeated rows are
-placed one by one, in any order among themselves.
+placed one by one, in any order among themselves. An empty table gives no rows; a text longer than a shard's share stands in one
+shard whole. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
