@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, large_strings, stored
+from .common import discard, documents, large_strings, release, stored
 
 BITS = 64
 SEED = 42
@@ -181,6 +181,35 @@ def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[i:j]) for i, j in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes by a power of two, from 64 bits and as many as there are hashes on: whether an odd number of hashes has it."""
+    size = 1 << max(6, (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount(grams & (size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes at least are in one set alone, by the bytes of both sketches. A longer sketch is folded to the size of the shorter."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def possibly_similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, na, nb, sa, sb), with sizes and sketches, those (a, b) whose sets may have at least this Jaccard similarity: no such pair is
+    lost, and of pairs that have a few shingles in common by chance next to none stay."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, sa, sb in zip((batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist(), batch.column(4), batch.column(5), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint8) for s in (sa, sb))
+                keep.append(apart(x, y) <= n * ((1 - similarity) / (1 + similarity)) + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def frequent_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> np.ndarray:
     """Hashes of shingles that several of about `sample` texts hold, the most frequent first. They only order the shingles of `prefixes`: any list gives the same pairs."""
     n = docs.count()
@@ -196,7 +225,7 @@ def frequent_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: i
 
 
 def prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(text_key, n, tokens) of every distinct text: of its n shingles, in one order for all texts (frequent ones last), so many of the
+    """(text_key, n, sketch, tokens) of every distinct text: of its n shingles, in one order for all texts (frequent ones last), so many of the
     first that two texts of at least this Jaccard similarity have one of them in common."""
     frequent = frequent_shingles(docs, words)
     place = np.argsort(frequent)  # how frequent: the place in the list
@@ -204,18 +233,20 @@ def prefixes(docs: DataFrame, similarity: float, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ns, tokens = [], []
+            ns, sketches, tokens = [], [], []
             for t in large_strings(batch.column(0)):
                 grams = shingle_hashes(t.as_buffer().to_pybytes(), words)
                 at = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
                 last = frequent[at] == grams if len(frequent) else np.zeros(len(grams), bool)
                 n = len(grams)
                 ns.append(n)
+                sketches.append(sketch(grams))
                 common = grams[last][np.argsort(-place[at[last]])]
                 tokens.append(np.concatenate([grams[~last], common])[: n - int(np.ceil(similarity * n - 1e-6)) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ns, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["text_key", "n", "tokens"])
+            columns = [batch.column(1), pa.array(ns, pa.int32()), pa.array(sketches, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["text_key", "n", "sketch", "tokens"])
 
-    found = docs.select("text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "text_key long, n int, tokens array<long>")
+    found = docs.select("text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "text_key long, n int, sketch binary, tokens array<long>")
     return found.dropDuplicates(["text_key"])
 
 
@@ -228,6 +259,11 @@ def _keys(none, doc_id, key) -> list:
     return [none.alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id"), key.alias("__key")]
 
 
+def _part(key):
+    """One of 2^20 parts of all texts: so many rows, of a number each, a table of them has at most."""
+    return F.pmod(key, F.lit(1 << 20))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", *_keys(F.col("doc_id").isNull(), F.col("doc_id"), text_key(F.col("text"))))
 
@@ -237,7 +273,10 @@ def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarit
     shingles of `words` words have a Jaccard similarity of at least `similarity`, whatever their fingerprints.
 
     The latter come from a prefix-filter join, which misses none. First every text of a prefix shingle is compared with three others of
-    it, which joins groups of near copies without their square; then all pairs that are not in one component by then."""
+    it, which joins groups of near copies without their square; then all pairs that are not in one component by then. The number of pairs with
+    a shingle in common by chance grows faster than the input, so they meet by their sketches, and only the texts of pairs that
+    pass are moved. Tables and shuffles go as soon as they are out of use, so that the disk holds one step's."""
+    spark = docs.sparkSession
     fps = stored(fingerprints(docs, shingle))
     nodes = fps.select("fp").distinct()
     close = stored(links(nodes, max_bits).select("a", "b"))
@@ -247,11 +286,16 @@ def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarit
     def possible(n1, at1, n2, at2):  # at the first shingle in common, the rest bounds how many there can be
         return F.least(n1 - at1, n2 - at2) >= (n1 + n2) * (similarity / (1 + similarity)) - 1e-6
 
-    rows = stored(prefixes(docs, similarity, words)).select("text_key", "n", F.posexplode("tokens").alias("at", "token"))
+    first_of_each = stored(prefixes(docs, similarity, words))
+    sketches = stored(first_of_each.select("text_key", "n", "sketch"))
+    release(spark)
+    rows = first_of_each.select("text_key", "n", F.posexplode("tokens").alias("at", "token"))
     here, by_token = F.struct("at", "n", "text_key"), Window.partitionBy("token")
     # The text that has a shingle earliest has few of its own, so it is near to most of a group of near copies.
     others = F.array(F.min(here).over(by_token), F.lag(here, 1).over(by_token.orderBy("at", "n", "text_key")), F.lag(here).over(by_token.orderBy("n", "text_key")))
     shared = stored(rows.withColumn("others", others).withColumn("m", F.count("*").over(by_token)).where("m > 1").drop("m"))
+    discard(first_of_each)
+    release(spark)
 
     def ordered(pairs):
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -261,28 +305,45 @@ def near_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, similarit
     tried = stored(ordered(tried.select(F.col("text_key").alias("x"), F.col("o.text_key").alias("y"))))
 
     def kept(pairs):
-        """Of pairs of text keys, the pairs of fingerprints whose texts are similar; only texts in pairs are compared."""
+        """Of pairs of text keys, the pairs of fingerprints whose texts are similar; only texts of pairs that their sketches allow are compared."""
+        for side in "ab":
+            pairs = pairs.join(sketches.withColumnsRenamed({"text_key": side, "n": f"n{side}", "sketch": f"s{side}"}).hint("merge"), side)
+        pairs = stored(possibly_similar(pairs, similarity))
+        release(spark)
         need = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct().hint("merge")  # grows with the input: never broadcast
-        of = first_of.join(need, "text_key").select(*_keys(F.col("first.none"), F.col("first.doc_id"), F.col("text_key")))
-        texts = _keyed(docs.select("doc_id", "text")).join(of.hint("merge"), KEYS, "left_semi").select(F.col("__key").alias("fp"), "text").dropDuplicates(["fp"])
+        of = stored(first_of.join(need, "text_key").select(*_keys(F.col("first.none"), F.col("first.doc_id"), F.col("text_key"))))
+        some = F.broadcast(of.select(_part(F.col("__key")).alias("__part")).distinct())  # keeps most of the other texts from being moved
+        texts = _keyed(docs.select("doc_id", "text")).join(some, _part(F.col("__key")) == F.col("__part"), "left_semi")
+        texts = texts.join(of.hint("merge"), KEYS, "left_semi").select(F.col("__key").alias("fp"), "text").dropDuplicates(["fp"])
         sets = stored(shingle_sets(texts, words))
+        release(spark)
         both = pairs.join(sets.withColumnsRenamed({"fp": "a", "grams": "ga"}).hint("merge"), "a").join(sets.withColumnsRenamed({"fp": "b", "grams": "gb"}).hint("merge"), "b")
         found = similar(both, similarity)
         found = found.join(fp_of.withColumnsRenamed({"text_key": "a", "fp": "fa"}).hint("merge"), "a").join(fp_of.withColumnsRenamed({"text_key": "b", "fp": "fb"}).hint("merge"), "b")
-        return stored(found.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct())
+        found = stored(found.where("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct())
+        discard(pairs, of, sets)
+        release(spark)
+        return found
 
-    edges = close.unionByName(kept(tried)).distinct()
+    edges = close.unionByName(met := kept(tried)).distinct()
     root = fp_of.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("text_key", F.coalesce("root", "fp").alias("root"))
     # The smaller text of a pair has its first common shingle early: the others of its prefix need no partner that is larger.
     parted = stored(shared.select("token", "text_key", "n", "at").join(root.hint("merge"), "text_key"))
+    discard(shared)
+    release(spark)
     early = parted.where(F.col("at") <= F.col("n") * ((1 - similarity) / (1 + similarity)) + 1e-6)
     one, two = (x.select("token", F.col("text_key").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("at").alias(f"at{i}"), F.col("root").alias(f"r{i}")) for i, x in ((1, early), (2, parted)))
     ahead = (F.col("r1") != F.col("r2")) & (F.struct("n1", "k1") < F.struct("n2", "k2"))
     left = one.hint("merge").join(two, (one["token"] == two["token"]) & ahead & possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2")))
     left = ordered(left.select(F.col("k1").alias("x"), F.col("k2").alias("y")))
     left = stored(left.join(tried.hint("merge"), ["a", "b"], "left_anti"))
-    edges = stored(edges.unionByName(kept(left)).distinct())
-    return fps, stored(nodes.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    discard(parted, tried)
+    release(spark)
+    edges = stored(edges.unionByName(late := kept(left)).distinct())
+    roots = stored(nodes.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    discard(sketches, left, close, met, late, edges)
+    release(spark)
+    return fps, roots
 
 
 def near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -170,3 +170,51 @@ def test_near_finds_all_similar_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert far > 20
     assert {r["doc_id"] for r in p.near(spark, docs, "").collect()} == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_near_moves_only_texts_that_may_be_similar(spark, monkeypatch):
+    """Texts with some shingles in common by chance are told apart by their sketches, so that no sets of shingles are made of them; of the
+    stage's tables only the fingerprints and their classes stay."""
+    from sparvox.llm import simhash
+
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(6)]
+    texts = [" ".join(np.concatenate([rng.choice([f"w{i}" for i in range(300)], 60), *[rng.choice(common, 12) for _ in range(5)]])) for _ in range(200)]
+    texts.append(texts[7] + " end")
+    made, tables = [], []
+
+    def sets(rows, words, real=simhash.shingle_sets):
+        made.append(rows.count())
+        return real(rows, words)
+
+    def stored(df, real=simhash.stored):
+        tables.append(real(df))
+        return tables[-1]
+
+    monkeypatch.setattr(simhash, "shingle_sets", sets)
+    monkeypatch.setattr(simhash, "stored", stored)
+    docs = as_docs(spark, list(enumerate(texts)))
+    groups = brute_near(list(enumerate(texts)))
+    assert {r["doc_id"] for r in p.near(spark, docs, "").collect()} == {min(g)[1] for g in groups.values()}
+    assert len(groups) == 200 and sum(made) <= 4
+    hadoop = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(t.stored_at) for t in tables]
+    left = [t.columns for t, path in zip(tables, paths) if path.getFileSystem(hadoop).exists(path)]
+    assert ["doc_id", "text_key", "fp"] in left and ["fp", "root"] in left
+    assert not [c for c in left if set(c) & {"tokens", "token", "sketch", "grams"}] and ["a", "b"] not in left
+
+
+def test_sketches_never_part_similar_sets():
+    """The sketches' distance is no more than the number of hashes in one set alone, whatever the sizes."""
+    from sparvox.llm.simhash import apart, sketch
+
+    rng = np.random.default_rng(9)
+    as_bytes = lambda x: np.frombuffer(sketch(np.unique(x)), np.uint8)
+    for n in (1, 2, 63, 64, 65, 130, 1000, 5000):
+        x = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        assert n / 8 <= len(as_bytes(x)) <= max(8, n / 4)
+        for drop, more in ((0, 0), (0, n // 9), (n // 9, 0), (n // 3, n // 3), (0, 3 * n), (n - 1, 1), (n - 1, n)):
+            y = np.unique(np.concatenate([x[drop:], rng.integers(-(1 << 63), (1 << 63) - 1, more)]))
+            assert apart(as_bytes(x), as_bytes(y)) <= len(np.setxor1d(x, y))
+    x, y = (np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 400)) for _ in range(2))
+    assert apart(as_bytes(x), as_bytes(y)) > 800 / 9 + 20
